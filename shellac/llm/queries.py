@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellac.llm import chat, licenses, mixing, packing, token_files
+from shellac.llm import chat, licenses, mixing, packing, quality, token_files, toxicity
 from shellac.llm.common import materialise, new_path
 
 
@@ -67,6 +67,20 @@ FROM written GROUP BY conv_id
 """
 
 
+def _held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicModel:
+    return toxicity.fit(toxicity.training_rows(docs, labels.where(~_held_out(F.col("doc_id")))))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxic_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), new_path(spark, "tokens"))
     docs = token_files.read_documents(spark, written)
@@ -82,12 +96,23 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
+    return quality.fit(quality.training_rows(docs, labels))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality_model(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_format_chats": op2_format_chats,
+    "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
     "op8_mix_sources": op8_mix_sources,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
