@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shellac.llm.linear import Ftrl, platt, sigmoid
 
@@ -194,7 +195,7 @@ def judge(docs: DataFrame, model: QualityModel, threshold: float = 0.2, text: st
                 yield pa.RecordBatch.from_arrays([*b.columns, *own, pa.array(failed), pa.array(score, pa.float64()), pa.array(good)], [*names, *ADDED])
 
     chosen = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = chosen.schema
+    schema = T.StructType([*chosen.schema.fields])
     for c in ADDED[:5]:
         schema = schema.add(c, "long")
     return chosen.mapInArrow(run, schema.add("base_failed", "boolean").add("quality_score", "double").add("kept", "boolean"))

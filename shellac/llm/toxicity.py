@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shellac.llm.linear import Ftrl, sigmoid
 
@@ -191,5 +192,6 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, text: str
             s = pa.array([m.score(t or "") for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, "score"])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", "double")
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    chosen = docs.select(*[F.col(f"`{c}`") for c in kept])
+    schema = T.StructType([*chosen.schema.fields, T.StructField("score", T.DoubleType())])
+    return chosen.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
