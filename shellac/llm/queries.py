@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellac.llm import chat, licenses, mixing, packing, quality, token_files, toxicity
+from shellac.llm import chat, licenses, mixing, neighbours, packing, quality, token_files, toxicity
 from shellac.llm.common import materialise, new_path
 
 
@@ -92,6 +92,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
 }
