@@ -7,20 +7,22 @@ whole text goes to the library.
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import re
 from array import array
 
 #: Words kept per worker; the memo starts anew beyond it, so memory is bounded whatever the corpus.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
 #: Longer words are encoded each time and not kept.
 MEMO_CHARS = 40
 #: Characters of text worked through at a time.
 GROUP_CHARS = 4_000_000
 
 _TWO_SPACES = re.compile(r"\s\s")
-#: Letters that normal forms leave alone, then at most three signs: one pre-token each.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]{0,3})")
+#: Signs behind a word; up to three of them are one pre-token. The letters before, up to ÿ, are stable under NFC.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Byte-level files write the bytes outside printable Latin-1 as the characters from U+0100 on, in order.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in set(_PRINTED))}
@@ -51,6 +53,7 @@ class WordTokenizer:
         self.bare: dict[str, bytes] = {"": b""}
         self.spaced: dict[str, bytes] = {}
         self.model, self.tails, self.newline = self.library.model, {}, self._whole("\n")
+        self.table = [_pack([i]) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
 
     def _whole(self, text: str) -> bytes:
         return _pack(self.library.encode(text, add_special_tokens=False).ids)
@@ -58,22 +61,23 @@ class WordTokenizer:
     def _fill(self, memo: dict[str, bytes], words: set[str], before: str) -> None:
         """Add the words that the memo lacks: plain letters with punctuation behind straight from the library's
         model, all others through its whole chain."""
-        rest, lower, lead = [], self.kind == "bare", "\u0120" if before else ""
+        rest, lower, lead, tails = [], self.kind == "bare", "\u0120" if before else "", self.tails
+        tokenize, table = self.model.tokenize, self.table
         for w in words - memo.keys():
-            m = _PLAIN.fullmatch(w)
-            if not m:
+            stem = w.rstrip(_SIGNS)
+            if not stem.isalpha() or len(w) - len(stem) > 3 or not stem.isascii() and max(stem) > "ÿ":
                 rest.append(w)
                 continue
-            stem, tail = m.groups()
             ids = memo.get(stem)
             if ids is None:
                 s = stem.lower() if lower else stem
                 s = s if s.isascii() else s.encode().decode("latin-1").translate(_BYTE_CHARS)
-                ids = memo[stem] = _pack([x.id for x in self.model.tokenize(lead + s)])
-            if tail:
-                if tail not in self.tails:
-                    self.tails[tail] = self._whole(tail)
-                memo[w] = ids + self.tails[tail]
+                ids = memo[stem] = b"".join([table[x.id] for x in tokenize(lead + s)])
+            if len(stem) < len(w):
+                tail = w[len(stem) :]
+                if tail not in tails:
+                    tails[tail] = self._whole(tail)
+                memo[w] = ids + tails[tail]
         found = self.library.encode_batch_fast([before + w for w in rest], add_special_tokens=False)
         memo.update((w, _pack(e.ids)) for w, e in zip(rest, found))
 
@@ -136,9 +140,8 @@ class WordTokenizer:
 
 def load(path: str) -> WordTokenizer:
     """The worker's tokenizer for a file, loaded once per process."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(200_000, 20, 100)  # the memo holds no cycles, and going through it costs
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
