@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellac.llm import chat, licenses, mixing, neighbours, packing, quality, token_files, toxicity
+from shellac.llm import chat, licenses, mixing, neighbours, packing, quality, token_files, toxicity, url_rules
 from shellac.llm.common import materialise, new_path
 
 
@@ -67,6 +67,15 @@ FROM written GROUP BY conv_id
 """
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's url names the document that it shows by number; its labels tell whether the page is to be blocked."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    shown = pages.withColumn("doc_id", F.regexp_extract("url", r"^[^?#]*/([0-9]{1,18})(?:[./?#]|$)", 1).try_cast("long"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    mined = url_rules.mine(url_rules.tokenise(shown, "doc_id").join(labels, "doc_id"))
+    return url_rules.judge(pages, mined).select("page_id", "host", "path", "rule", "verdict")
+
+
 def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -113,6 +122,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_format_chats": op2_format_chats,
+    "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_license_scan": op6_license_scan,
