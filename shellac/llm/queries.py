@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shellac.llm import chat, licenses, mixing, neighbours, packing, quality, token_files, toxicity, url_rules
+from shellac.llm import chat, licenses, mixing, neighbours, ngram_join, packing, quality, token_files, toxicity, url_rules
 from shellac.llm.common import materialise, new_path
 
 
@@ -119,6 +119,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality_model(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_format_chats": op2_format_chats,
@@ -129,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
