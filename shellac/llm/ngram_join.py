@@ -46,7 +46,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(size: int, percent: int, frequent, whole: bool):
-    """Arrow function over (doc_id, text): doc_id, n, key of the set, and its prefix or the whole set as bytes."""
+    """Arrow function over (doc_id, text, carried columns): doc_id, the carried columns, n, key of the set, and its prefix or
+    the whole set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = None if frequent is None else frequent.value
@@ -65,7 +66,10 @@ def _sets(size: int, percent: int, frequent, whole: bool):
                         s = np.sort(s + np.where(late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s, _LAST, 0))
                     out.append(s[: prefix_length(len(s), percent)].tolist() if len(s) else [])
                 kind = pa.binary() if whole else pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(out, kind)], ["doc_id", "n", "key", "tokens"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *part.columns[2:], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(out, kind)],
+                    ["doc_id", *part.schema.names[2:], "n", "key", "tokens"],
+                )
 
     return run
 
@@ -157,19 +161,12 @@ def _large_family_links(large: DataFrame, sets: DataFrame, percent: int) -> Data
     return found.unionByName(_join_tasks(tasks.join(sets, "cid"), percent))
 
 
-def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """Group documents whose sets of ``size``-word shingles have a Jaccard of at least ``percent`` / 100.
-
-    Returns one row a document: doc_id, n_shingles (of its set), component_id (the smallest doc_id reachable by links, itself
-    included). Words are runs of characters other than white space, A-Z lower-cased; a text of fewer words is one shingle;
-    null and empty texts and texts without words have none and are linked with nothing. Repeated rows are linked like
-    other equal texts and stay; rows without a doc_id take part, but don't name a component (null where all lack one).
-    Sets are compared by 62-bit hashes of their shingles. An empty table gives no rows. Needs doc_id and text only.
-    """
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row a document: doc_id, columns other than the text, n, component (null without a set), component_id."""
+    spark, carried = docs.sparkSession, [c for c in docs.columns if c not in ("doc_id", "text")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *carried).schema)
+    rows = materialise(docs.select("doc_id", "text", *carried).mapInArrow(_sets(size, percent, None, False), f"{fields}, n long, key binary, tokens array<long>"), "sets")
     docs = docs.select("doc_id", "text")
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialise(docs.mapInArrow(_sets(size, percent, None, False), f"doc_id {kind}, n long, key binary, tokens array<long>"), "sets")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("prefix"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
@@ -193,6 +190,38 @@ def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     parts = connected_components(found).select(F.col("node").alias("cid"), "component")
     named = classes.select("cid", "key", "rep").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_key = named.join(smallest, "component").select("key", "component_id")
-    alone = rows.where("key is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.where("key is not null").select("doc_id", "n", "key").join(by_key, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    by_key = named.join(smallest, "component").select("key", "component", "component_id")
+    alone = rows.where("key is null").select("doc_id", *carried, "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return rows.where("key is not null").drop("tokens").join(by_key, "key").select(*alone.columns).unionByName(alone)
+
+
+def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """Group documents whose sets of ``size``-word shingles have a Jaccard of at least ``percent`` / 100.
+
+    Returns one row a document: doc_id, n_shingles (of its set), component_id (the smallest doc_id reachable by links, itself
+    included). Words are runs of characters other than white space, A-Z lower-cased; a text of fewer words is one shingle;
+    null and empty texts and texts without words have none and are linked with nothing. Repeated rows are linked like
+    other equal texts and stay; rows without a doc_id take part, but don't name a component (null where all lack one).
+    Sets are compared by 62-bit hashes of their shingles. An empty table gives no rows. Needs doc_id and text only.
+    """
+    found = _components(docs.select("doc_id", "text"), size, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of ``similar_groups``: the one with the smallest doc_id, all columns as they are.
+
+    Documents without words stay, as they are linked with nothing. Rows without a doc_id go if one with an id is in their group;
+    of equal rows one stays. Texts move only where rows repeat or the rows that go are too many to broadcast their keys.
+    """
+    marked = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("_mark"))
+    found = materialise(_components(marked, size, percent), "grouped")
+    grouped = found.where("component is not null")
+    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_mark")).alias("r"))
+    chosen = first.select("component", F.col("r.doc_id").alias("_id"), F.col("r._mark").alias("_mark"))
+    same = (grouped["component"] == chosen["component"]) & grouped["doc_id"].eqNullSafe(chosen["_id"]) & (grouped["_mark"] == chosen["_mark"])
+    gone = materialise(grouped.join(chosen, same, "left_anti").select(F.col("doc_id").alias("_id"), "_mark").distinct(), "gone")
+    own = docs.withColumn("_own", F.md5(F.coalesce("text", F.lit(""))))
+    kept = own.join(broadcast_if_small(gone, gone.count(), 100_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_anti")
+    repeated = grouped.groupBy("doc_id", "_mark").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "_own"]) if repeated else kept).drop("_own")
