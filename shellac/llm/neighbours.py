@@ -45,6 +45,13 @@ def _unit(blob: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, norms, (x / norms[:, None]).astype(np.float32)
 
 
+def _nodes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the rows in order of these, and where each one's begin: vectors of one direction share a node."""
+    distinct, of = np.unique(unit, axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    return distinct, np.argsort(of, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(distinct)))])
+
+
 def build_index(classes: DataFrame, shard_vectors: int = SHARD_VECTORS, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
     """One row a shard and dimension: shard, dim, keys, firsts, vectors and links (bytes each), entry.
 
@@ -56,7 +63,7 @@ def build_index(classes: DataFrame, shard_vectors: int = SHARD_VECTORS, degree:
     def make(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key", ignore_index=True)
         blob = b"".join(rows["vector"])
-        g = graph.build(_unit(blob, int(key[1]))[2], degree, beam, alpha)
+        g = graph.build(_nodes(_unit(blob, int(key[1]))[2])[0], degree, beam, alpha)
         firsts = rows["first_id"].to_numpy(np.int64).tobytes()
         return pd.DataFrame({"shard": [key[0]], "dim": [key[1]], "keys": [b"".join(rows["key"])], "firsts": [firsts], "vectors": [blob], "links": [g.links.tobytes()], "entry": [g.entry]})
 
@@ -83,18 +90,18 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, degree: int = 32,
             return pd.DataFrame({"key": [], "found": [], "first_id": [], "score": []})
         own = own.iloc[0]
         x, norms, unit = _unit(own["vector"], int(key[1]))
-        firsts = np.append(np.frombuffer(own["firsts"], np.int64), np.iinfo(np.int64).max)
-        g = graph.Graph(unit, np.frombuffer(own["links"], np.int32).reshape(-1, degree), int(own["entry"]))
+        firsts = np.frombuffer(own["firsts"], np.int64)
+        distinct, members, begin = _nodes(unit)
+        g = graph.Graph(distinct, np.frombuffer(own["links"], np.int32).reshape(-1, degree), int(own["entry"]))
         q, q_norms, q_unit = _unit(b"".join(asked["vector"]), int(key[1]))
         names, out = asked["key"].tolist(), []
         for at in range(0, len(q), 256):
-            part = slice(at, at + 256)
-            near = g.search(q_unit[part], max(k, min(beam, len(x))))[0][:, : 2 * k]
-            score = np.einsum("qnd,qd->qn", x[np.maximum(near, 0)], q[part]) / (norms[np.maximum(near, 0)] * q_norms[part, None])
-            score[near < 0] = -np.inf
-            order = np.lexsort((firsts[near], -score), axis=1)[:, :k]
-            for i, best in enumerate(order):
-                out += [(names[at + i], own["keys"][16 * c : 16 * c + 16], firsts[c], s) for c, s in zip(near[i, best].tolist(), score[i, best].tolist()) if c >= 0]
+            near = g.search(q_unit[at : at + 256], max(k, min(beam, len(distinct))))[0][:, : 2 * k]
+            for i, nodes in enumerate(near, at):
+                c = np.concatenate([members[begin[n] : begin[n + 1]] for n in nodes if n >= 0])
+                score = x[c] @ q[i] / (norms[c] * q_norms[i])
+                best = np.lexsort((firsts[c], -score))[:k]
+                out += [(names[i], own["keys"][16 * j : 16 * j + 16], firsts[j], s) for j, s in zip(c[best].tolist(), score[best].tolist())]
         return pd.DataFrame(out, columns=["key", "found", "first_id", "score"])
 
     return asked.unionByName(held).groupBy("shard", "dim", "block").applyInPandas(find, "key binary, found binary, first_id long, score double")

@@ -112,7 +112,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, shard_pieces: int = SHARD_PIEC
         turn[: len(turn) * 4 // 5] = np.random.default_rng(0).permutation(len(turn) * 4 // 5)
         where, offset = np.empty(len(turn), np.int64), np.empty(len(turn), np.int64)
         where[turn], offset[turn] = place_sum_of_squares(lengths[turn], capacity)
-        return rows.drop(columns="_shard").assign(sequence_id=where + (key[0] << _PLACE_BITS), offset=offset)
+        return rows.drop(columns="_shard").assign(sequence_id=where + (int(key[0]) << _PLACE_BITS), offset=offset)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema] + ["sequence_id long", "offset long"])
     return dealt.groupBy("_shard").applyInPandas(place, schema)
