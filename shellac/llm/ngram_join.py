@@ -5,7 +5,7 @@
    tokens that many prefixes share put last; classes that hold such tokens get their prefix anew.
 3. Prefix tokens put classes that may be linked into one family: through pairs, where few classes share the token, whose
    shared tokens could still reach the bound; through leaders of size ranges, where many do.
-4. Each family is joined in one task by a prefix tree; a large one by its leaders first, then in blocks.
+4. Each family is joined in one task by a prefix tree, a large one in blocks.
 
 No step caps or samples: the frequent-token list and the leaders change the order of work, not the links.
 """
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +32,12 @@ from shellac.llm.shingles import shingle_sets
 FEW = 32
 #: Most tokens that are put last, the most frequent ones; the list is broadcast (8 bytes each).
 FREQUENT_TOKENS = 500_000
-#: Classes of a family that one task joins; larger families go through leaders and blocks of half as many.
-FAMILY = 2048
-#: Rounds of leaders in a large family before its rest is joined in blocks.
-LEADER_ROUNDS = 3
+#: Classes of a family that one task joins; larger families go in pairs of blocks of half as many.
+FAMILY = 8192
+#: Tokens kept beyond the prefix and a quarter of it, so that most classes with frequent tokens needn't be read again.
+SPARE = 4
+#: Times that the order is settled anew: other tokens move up into prefixes, and may be frequent.
+ROUNDS = 3
 #: Sets a task gets on average.
 TASK_SETS = 2000
 _LAST = 1 << 62
@@ -46,8 +49,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(size: int, percent: int, frequent, whole: bool):
-    """Arrow function over (doc_id, text, carried columns): doc_id, the carried columns, n, key of the set, and its prefix or
-    the whole set as bytes."""
+    """Arrow function over (doc_id, text, carried columns): doc_id, the carried columns, n, key of the set, and its first tokens
+    by hash, its prefix with the frequent tokens last, or the whole set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = None if frequent is None else frequent.value
@@ -64,7 +67,8 @@ def _sets(size: int, percent: int, frequent, whole: bool):
                         continue
                     if late is not None and len(s):
                         s = np.sort(s + np.where(late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s, _LAST, 0))
-                    out.append(s[: prefix_length(len(s), percent)].tolist() if len(s) else [])
+                    p = prefix_length(len(s), percent)
+                    out.append(s[: p if late is not None else p + p // 4 + SPARE].tolist() if len(s) else [])
                 kind = pa.binary() if whole else pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *part.columns[2:], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(out, kind)],
@@ -74,6 +78,24 @@ def _sets(size: int, percent: int, frequent, whole: bool):
     return run
 
 
+def _prefixes(percent: int, frequent):
+    """Arrow function over (cid, n, first tokens): cid, n, and the prefix without frequent tokens, null if too few are left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = frequent.value
+        for batch in batches:
+            tokens = batch.column(2)
+            flat, starts = tokens.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(tokens).to_numpy())])
+            rare = late[np.minimum(np.searchsorted(late, flat), len(late) - 1)] != flat if len(late) else np.ones(len(flat), bool)
+            out = []
+            for n, a, b in zip(batch.column(1).to_pylist(), starts, starts[1:]):
+                p, own = prefix_length(n, percent), flat[a:b][rare[a:b]]
+                out.append(own[:p].tolist() if len(own) >= p else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.int64()))], ["cid", "n", "prefix"])
+
+    return run
+
+
 def _documents_of(docs: DataFrame, classes: DataFrame, size: int, percent: int, frequent, whole: bool) -> DataFrame:
     """``_sets`` of one document for each class (key, rep): key, tokens. Texts move only if the classes are too many to
     broadcast their ids."""
@@ -130,57 +152,44 @@ def _join_tasks(tasks: DataFrame, percent: int) -> DataFrame:
 
 
 def _large_family_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of families beyond ``FAMILY`` (family, cid, m members): leaders against all, then who is left in blocks."""
-    half = FAMILY // 2
-    chunk = F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / half).cast("int"))
-    found = None
-    inside = large.withColumn("component", F.col("cid"))
-    for _ in range(LEADER_ROUNDS):
-        sizes = inside.groupBy("family", "component").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("family").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("main"), F.max("k").alias("k"))
-        outside = inside.join(main, "family").where((F.col("component") != F.col("main")) | (F.col("k") == 1))
-        leaders = outside.groupBy("family").agg(F.min_by("cid", F.xxhash64("cid", "component")).alias("leader"), F.first("m").alias("m"))
-        chunks = leaders.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / half).cast("int") - 1)))
-        asked = chunks.select(F.concat_ws("/", "family", "chunk").alias("task"), F.col("leader").alias("cid"), F.lit(True).alias("probe"), F.lit(False).alias("member"))
-        held = inside.join(leaders, "family", "left_semi").join(leaders.select("family", "leader"), "family").where("cid <> leader")
-        held = held.select(F.concat_ws("/", "family", chunk).alias("task"), "cid", F.lit(False).alias("probe"), F.lit(True).alias("member"))
-        new = materialise(_join_tasks(asked.unionByName(held).join(sets, "cid"), percent), "links")
-        found = new if found is None else found.unionByName(new)
-        parts = connected_components(found)
-        inside = materialise(large.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "inside")
-    sizes = inside.groupBy("family", "component").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("family").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("main"))
-    outside = inside.join(main, "family").where(F.col("component") != F.col("main"))
-    rest = outside.groupBy("family").agg(F.count("*").alias("s"))
-    blocks = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.ceil(F.col("s") / half).cast("int") - 1)))
-    held = inside.join(blocks, "family").select(F.concat_ws("/", "family", "i", chunk).alias("task"), "cid", F.lit(False).alias("probe"), F.lit(True).alias("member"))
-    asked = outside.join(rest, "family").withColumn("i", F.pmod(F.xxhash64("cid"), F.ceil(F.col("s") / half).cast("int")))
-    asked = asked.withColumn("j", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / half).cast("int") - 1)))
-    asked = asked.select(F.concat_ws("/", "family", "i", "j").alias("task"), "cid", F.lit(True).alias("probe"), F.lit(False).alias("member"))
-    tasks = asked.unionByName(held).groupBy("task", "cid").agg(F.max("probe").alias("probe"), F.max("member").alias("member"))
-    return found.unionByName(_join_tasks(tasks.join(sets, "cid"), percent))
+    """Links of families beyond ``FAMILY`` (family, cid, m members), in blocks of half as many: each block against itself and
+    every later one."""
+    n = F.ceil(F.col("m") / (FAMILY // 2)).cast("int")
+    own = large.select("family", "cid", n.alias("_n"), F.pmod(F.xxhash64("cid"), n).alias("_k"))
+    pairs = own.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j"))
+    task = F.concat_ws("/", "family", F.least("_k", "_j"), F.greatest("_k", "_j"))
+    return _join_tasks(pairs.select(task.alias("task"), "cid", (F.col("_k") <= F.col("_j")).alias("probe"), (F.col("_k") >= F.col("_j")).alias("member")).join(sets, "cid"), percent)
 
 
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row a document: doc_id, columns other than the text, n, component (null without a set), component_id."""
     spark, carried = docs.sparkSession, [c for c in docs.columns if c not in ("doc_id", "text")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *carried).schema)
-    rows = materialise(docs.select("doc_id", "text", *carried).mapInArrow(_sets(size, percent, None, False), f"{fields}, n long, key binary, tokens array<long>"), "sets")
+    made = docs.select("doc_id", "text", *carried).mapInArrow(_sets(size, percent, None, False), f"{fields}, n long, key binary, tokens array<long>")
+    rows = materialise(made.withColumn("cid", F.monotonically_increasing_id()), "sets")
     docs = docs.select("doc_id", "text")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("prefix"))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-
-    tokens = classes.select(F.explode("prefix").alias("token"))
-    frequent = materialise(tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FEW).orderBy(F.col("c").desc(), "token").limit(FREQUENT_TOKENS).select("token"), "frequent")
-    late = np.sort(np.array([r[0] for r in frequent.collect()], np.int64))
-    if len(late):
-        holds = classes.select("key", "rep", F.explode("prefix").alias("token")).join(F.broadcast(frequent), "token", "left_semi").select("key", "rep").distinct()
-        again = _documents_of(docs, materialise(holds, "holds"), size, percent, spark.sparkContext.broadcast(late), False)
-        classes = materialise(classes.join(again, "key", "left").withColumn("prefix", F.coalesce("tokens", "prefix")).drop("tokens"), "classes")
+    first = rows.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "cid")).alias("r")).select(F.col("r.cid").alias("cid"))
+    first = materialise(first, "first")  # the row that stands for its class
+    base = rows.join(broadcast_if_small(first, first.count()), "cid", "left_semi").select("cid", "key", F.col("doc_id").alias("rep"), "n", "tokens")
+    late = np.empty(0, np.int64)
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast(late)  # at most ROUNDS * FREQUENT_TOKENS numbers
+        own = base.select("cid", "n", "tokens").mapInArrow(_prefixes(percent, shared), "cid long, n long, prefix array<long>")
+        classes = materialise(own, "prefixes")
+        short = classes.where("prefix is null").select("cid")
+        if len(late) and short.limit(1).count():
+            short = materialise(base.join(broadcast_if_small(short, short.count()), "cid").select("cid", "key", "rep", "n"), "short")
+            again = short.join(_documents_of(docs, short, size, percent, shared, False), "key").select("cid", "n", F.col("tokens").alias("prefix"))
+            classes = classes.where("prefix is not null").unionByName(materialise(again, "again"))
+        tokens = classes.select(F.explode("prefix").alias("token")).where(F.col("token") < _LAST)
+        new = tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FEW).orderBy(F.col("c").desc(), "token").limit(FREQUENT_TOKENS).collect()
+        if not new:
+            break
+        late = np.sort(np.concatenate([late, np.array([r["token"] for r in new], np.int64)]))
 
     families = connected_components(_families(classes, percent)).select(F.col("node").alias("cid"), F.col("component").alias("family"))
     families = families.withColumn("m", F.count("*").over(Window.partitionBy("family")))
-    wanted = materialise(families.join(classes.select("cid", "key", "rep"), "cid"), "families")
+    wanted = materialise(families.join(base.select("cid", "key", "rep"), "cid"), "families")
     sets = materialise(_documents_of(docs, wanted, size, percent, None, True).join(wanted.select("key", "cid"), "key").select("cid", "tokens"), "members")
     small = wanted.where(F.col("m") <= FAMILY).select(F.col("family").cast("string").alias("task"), "cid", F.lit(True).alias("probe"), F.lit(True).alias("member"))
     found = _join_tasks(small.join(sets, "cid"), percent)
@@ -188,7 +197,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     if large.limit(1).count():
         found = found.unionByName(_large_family_links(materialise(large, "large"), sets, percent))
     parts = connected_components(found).select(F.col("node").alias("cid"), "component")
-    named = classes.select("cid", "key", "rep").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = base.select("cid", "key", "rep").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_key = named.join(smallest, "component").select("key", "component", "component_id")
     alone = rows.where("key is null").select("doc_id", *carried, "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))

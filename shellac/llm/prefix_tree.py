@@ -6,15 +6,16 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Probes between two updates of what the tree knows of components.
-REFRESH = 64
+#: Probes that go down together: few at first, as the first ones join most of a group of near copies; then up to MOST, or as many as
+#: fill CELLS cells of a table of probes and ranks.
+FIRST, MOST, CELLS = 16, 512, 16_000_000
 
 
 class PrefixTree:
     """A path-compressed trie of ascending rank sequences.
 
     The members are sorted, so a node covers a run of them; it holds the depths it spans, where its members lie, the
-    shortest and longest of them and its children.
+    longest of them and its children.
     """
 
     def __init__(self, sequences: Sequence[np.ndarray]):
@@ -22,7 +23,7 @@ class PrefixTree:
         self.seqs = [sequences[i] for i in self.order]
         self.lengths = np.array([len(s) for s in self.seqs], np.int64)
         shared = [self._shared(a, b) for a, b in zip(self.seqs, self.seqs[1:])]
-        self.nodes: list[tuple[int, int, int, int, int, int, list[int]]] = []
+        self.nodes: list[tuple[int, int, int, int, int, list[int]]] = []
         self.roots = self._build(0, len(self.seqs), 0, np.array(shared, np.int64))
 
     @staticmethod
@@ -44,40 +45,48 @@ class PrefixTree:
                 children: list[int] = []
                 into.append(len(self.nodes))
                 lengths = self.lengths[a:b]
-                self.nodes.append((depth, end, a, b, int(lengths.min()), int(lengths.max()), children))
+                self.nodes.append((depth, end, a, b, int(lengths.max()), children))
                 rest = a + int((lengths == end).sum())  # members that end here sort before the longer ones
                 if rest < b:
                     open_.append((rest, b, end, children))
         return roots
 
-    def probe(self, x: np.ndarray, marked: np.ndarray, percent: int, changes: np.ndarray, labels: np.ndarray, own: int) -> list[int]:
-        """Places (in sorted order) of the members whose Jaccard with ``x`` is at least ``percent`` / 100.
+    def probe(self, marked: np.ndarray, sizes: np.ndarray, all_sizes: np.ndarray, percent: int, labels: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs (probe, place in sorted order) whose Jaccard is at least ``percent`` / 100, all probes going down together.
 
-        ``marked`` is true at the ranks of ``x``. Overlaps are counted once for all members below a node. A subtree goes when
-        the overlap so far and what is left of the probe or of the longest member can't reach the bound of its shortest
-        member, or when ``labels`` puts all its members with ``own`` already.
+        ``marked`` tells for each probe and rank whether the probe has it; ``sizes`` and ``all_sizes`` are the whole sizes of probes
+        and members, of which only shared ranks are in the tree. Overlaps are counted once for all members below a node. A
+        probe leaves a subtree when its overlap so far and what is left of it or of the longest member can't reach the bound
+        of the smallest member there, or when ``labels`` puts all members there with its ``own`` already.
         """
-        found, n, total = [], len(x), 100 + percent
-        open_ = [(r, 0) for r in self.roots]
+        found, total = [], 100 + percent
+        passed = np.cumsum(marked, axis=1, dtype=np.int32)
+        have = passed[:, -1] if passed.shape[1] else np.zeros(len(marked), np.int32)
+        changes = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
+        everyone = np.arange(len(marked))
+        open_ = [(r, everyone, np.zeros(len(marked), np.int64)) for r in self.roots]
         while open_:
-            at, overlap = open_.pop()
-            start, end, lo, hi, shortest, longest, children = self.nodes[at]
-            if labels[lo] == own and changes[hi - 1] == changes[lo]:
-                continue
-            part = self.seqs[lo][start:end]
-            if len(part):
-                overlap += int(np.count_nonzero(marked[part]))
-                left = n - int(np.searchsorted(x, part[-1], "right"))
+            at, active, overlap = open_.pop()
+            start, end, lo, hi, longest, children = self.nodes[at]
+            if changes[hi - 1] == changes[lo]:
+                others = own[active] != labels[lo]
+                active, overlap = active[others], overlap[others]
+            if end > start and len(active):
+                part = self.seqs[lo][start:end]
+                overlap = overlap + (marked[active, part[0]] if end - start == 1 else np.count_nonzero(marked[active[:, None], part], axis=1))
+                left = have[active] - passed[active, part[-1]]
             else:
-                left = n
-            if total * (overlap + min(left, longest - end)) < percent * (n + shortest):
+                left = have[active]
+            reach = total * (overlap + np.minimum(left, longest - end)) >= percent * (sizes[active] + int(all_sizes[lo:hi].min()))
+            active, overlap = active[reach], overlap[reach]
+            if not len(active):
                 continue
             i = lo
             while i < hi and self.lengths[i] == end:
-                if total * overlap >= percent * (n + end):
-                    found.append(i)
+                near = active[total * overlap >= percent * (sizes[active] + all_sizes[i])]
+                found += [(k, i) for k in near.tolist()]
                 i += 1
-            open_ += [(c, overlap) for c in children]
+            open_ += [(c, active, overlap) for c in children]
         return found
 
 
@@ -85,7 +94,7 @@ def links(sets: Sequence[np.ndarray], probes: Sequence[int], members: Sequence[i
     """Links that join the same components as all pairs (probe, member) with a Jaccard of at least ``percent`` / 100.
 
     ``sets`` are ascending hash arrays without repeats; probes and members are places in them. Pairs that are in one
-    component already may be left out.
+    component already may be left out. Hashes that one set alone has can't be shared and count by their number only.
     """
     used = sorted({*probes, *members})
     if len(members) == 0 or len(probes) == 0 or len(used) < 2:
@@ -93,12 +102,15 @@ def links(sets: Sequence[np.ndarray], probes: Sequence[int], members: Sequence[i
     tokens, inverse, counts = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
     rank = np.empty(len(tokens), np.int64)
     rank[np.lexsort((tokens, -counts))] = np.arange(len(tokens))  # common ones first: long shared paths
+    shared = int((counts > 1).sum())
     ranked, at = {}, 0
     for i in used:
-        ranked[i] = np.sort(rank[inverse[at : at + len(sets[i])]])
+        own = np.sort(rank[inverse[at : at + len(sets[i])]])
+        ranked[i] = own[: np.searchsorted(own, shared)]
         at += len(sets[i])
     tree = PrefixTree([ranked[i] for i in members])
     places = [members[k] for k in tree.order]
+    all_sizes = np.array([len(sets[i]) for i in places], np.int64)
     up = {i: i for i in used}
 
     def root(i: int) -> int:
@@ -107,19 +119,19 @@ def links(sets: Sequence[np.ndarray], probes: Sequence[int], members: Sequence[i
             i = up[i]
         return i
 
-    out, marked = [], np.zeros(len(tokens), bool)
-    labels = np.array(places, np.int64)
-    changes = np.arange(len(places))
-    for k, p in enumerate(probes):
-        if k % REFRESH == 0 and k:
-            labels = np.array([root(i) for i in places], np.int64)
-            changes = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
-        x = ranked[p]
-        marked[x] = True
-        for hit in tree.probe(x, marked, percent, changes, labels, root(p)):
-            a, b = root(p), root(places[hit])
+    out, at, step = [], 0, FIRST
+    while at < len(probes):
+        some = list(probes[at : at + max(1, min(step, CELLS // max(1, shared)))])
+        at += len(some)
+        step = min(2 * step, MOST)
+        marked = np.zeros((len(some), shared), bool)
+        for k, p in enumerate(some):
+            marked[k, ranked[p]] = True
+        sizes = np.array([len(sets[p]) for p in some], np.int64)
+        labels, own = np.array([root(i) for i in places], np.int64), np.array([root(p) for p in some], np.int64)
+        for k, hit in tree.probe(marked, sizes, all_sizes, percent, labels, own):
+            a, b = root(some[k]), root(places[hit])
             if a != b:
                 up[max(a, b)] = min(a, b)
-                out.append((p, places[hit]))
-        marked[x] = False
+                out.append((some[k], places[hit]))
     return out

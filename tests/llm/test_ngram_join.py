@@ -87,7 +87,6 @@ def test_other_paths_give_the_same(spark, corpus, monkeypatch):
 def test_one_frequent_token_only_is_put_last(spark, corpus, monkeypatch):
     monkeypatch.setattr(ngram_join, "FEW", 3)
     monkeypatch.setattr(ngram_join, "FREQUENT_TOKENS", 1)
-    monkeypatch.setattr(ngram_join, "LEADER_ROUNDS", 1)
     monkeypatch.setattr(ngram_join, "FAMILY", 8)
     assert grouped(spark, corpus, percent=70) == brute(corpus, percent=70)
 
