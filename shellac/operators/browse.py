@@ -1,6 +1,7 @@
 """Browse views: the whole catalogue in five fixed orders.
 
-Missing names are replaced by texts that differ from the sentinels. The orders end in title and id, so they are total.
+Missing names are replaced by texts that differ from the sentinels. The orders end in title and id, so they are total. Every
+view numbers its rows (pos); with a name for ``total`` each row also holds their number.
 """
 
 from __future__ import annotations
@@ -46,29 +47,33 @@ def _or(c: str, text: str) -> Column:
     return F.coalesce(F.col(c), F.lit(text)).alias(c)
 
 
-def browse_all(c: Catalogue) -> DataFrame:
+def _total(name: str | None) -> list[Column]:
+    return [F.col(name).cast("long").alias(name)] if name else []
+
+
+def browse_all(c: Catalogue, total: str | None = None) -> DataFrame:
     """All tracks with their tags, by title."""
     tracks = c.tracks.select("id", "track_title", "artist_id", "origin_id")
     rows = with_origin(with_artist(tracks, c), c).join(tag_lists(c), "id", "left")
-    return number_rows(rows, ["track_title", "id"]).select("pos", "id", _or("track_title", MISSING_TITLE), _or("artist", MISSING_ARTIST), _or("origin", MISSING_ORIGIN), _or("tags", ""))
+    return number_rows(rows, ["track_title", "id"], total=total).select("pos", *_total(total), "id", _or("track_title", MISSING_TITLE), _or("artist", MISSING_ARTIST), _or("origin", MISSING_ORIGIN), _or("tags", ""))
 
 
-def browse_artists(c: Catalogue) -> DataFrame:
+def browse_artists(c: Catalogue, total: str | None = None) -> DataFrame:
     """All tracks by artist; those without an artist row come first."""
     rows = with_artist(c.tracks.select("id", "track_title", "artist_id"), c)
-    return number_rows(rows, ["artist", "track_title", "id"]).select("pos", "id", _or("artist", MISSING_ARTIST), _or("track_title", MISSING_TITLE))
+    return number_rows(rows, ["artist", "track_title", "id"], total=total).select("pos", *_total(total), "id", _or("artist", MISSING_ARTIST), _or("track_title", MISSING_TITLE))
 
 
-def browse_origins(c: Catalogue) -> DataFrame:
+def browse_origins(c: Catalogue, total: str | None = None) -> DataFrame:
     """All tracks by origin; those without an origin row come first."""
     rows = with_origin(c.tracks.select("id", "track_title", "origin_id"), c)
-    return number_rows(rows, ["origin", "track_title", "id"]).select("pos", "id", _or("origin", MISSING_ORIGIN), _or("track_title", MISSING_TITLE))
+    return number_rows(rows, ["origin", "track_title", "id"], total=total).select("pos", *_total(total), "id", _or("origin", MISSING_ORIGIN), _or("track_title", MISSING_TITLE))
 
 
-def browse_tags(c: Catalogue) -> DataFrame:
+def browse_tags(c: Catalogue, total: str | None = None) -> DataFrame:
     """One row for each track and tag, by tag; tracks without tags come last, once."""
     rows = with_tags(c.tracks.select("id", "track_title"), c)
-    return number_rows(rows, [F.col("tag").asc_nulls_last(), "track_title", "id"]).select("pos", "id", _or("tag", NO_TAGS), _or("track_title", MISSING_TITLE))
+    return number_rows(rows, [F.col("tag").asc_nulls_last(), "track_title", "id"], total=total).select("pos", *_total(total), "id", _or("tag", NO_TAGS), _or("track_title", MISSING_TITLE))
 
 
 def is_incomplete() -> Column:
@@ -76,13 +81,13 @@ def is_incomplete() -> Column:
     return (F.col("artist") == NO_ARTIST) | (F.col("origin") == NO_ORIGIN)
 
 
-def browse_incomplete(c: Catalogue) -> DataFrame:
+def browse_incomplete(c: Catalogue, total: str | None = None) -> DataFrame:
     """Tracks whose artist or origin is not known, by artist and origin."""
     rows = with_origin(with_artist(c.tracks.select("id", "track_title", "artist_id", "origin_id"), c), c).where(is_incomplete())
-    return number_rows(rows, ["artist", "origin", "track_title", "id"]).select("pos", "id", _or("track_title", MISSING_TITLE), _or("artist", MISSING_ARTIST), _or("origin", MISSING_ORIGIN))
+    return number_rows(rows, ["artist", "origin", "track_title", "id"], total=total).select("pos", *_total(total), "id", _or("track_title", MISSING_TITLE), _or("artist", MISSING_ARTIST), _or("origin", MISSING_ORIGIN))
 
 
-MODES: dict[str, Callable[[Catalogue], DataFrame]] = {
+MODES: dict[str, Callable[..., DataFrame]] = {
     "all": browse_all,
     "artist": browse_artists,
     "origin": browse_origins,
@@ -91,9 +96,9 @@ MODES: dict[str, Callable[[Catalogue], DataFrame]] = {
 }
 
 
-def browse(c: Catalogue, mode: str) -> DataFrame:
-    """The view of a mode."""
-    return MODES[mode](c)
+def browse(c: Catalogue, mode: str, total: str | None = None) -> DataFrame:
+    """The view of a mode; on demand each row also tells how many there are, under the name ``total``."""
+    return MODES[mode](c, total)
 
 
 def lookup(c: Catalogue, track_id: str) -> DataFrame:

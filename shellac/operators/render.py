@@ -13,13 +13,13 @@ from shellac.sources.catalogue import Catalogue
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Add the number of each row, aligned to the right in as many places as the last number has."""
-    total = rows.select(F.length(F.count("*").cast("string")).alias("width"))
-    return rows.join(F.broadcast(total)).withColumn("number", F.lpad(F.col("pos").cast("string"), F.col("width"), F.lit(" ")))
+    """Add the number of each row, aligned to the right in as many places as the number of rows has."""
+    width = F.length(F.col("total").cast("string"))
+    return rows.withColumn("width", width).withColumn("number", F.lpad(F.col("pos").cast("string"), F.col("width"), F.lit(" ")))
 
 
 def flat_entries(rows: DataFrame, *meta: str) -> DataFrame:
-    """One entry a row (pos, entry): number, title, and below it the row's other fields unless all are placeholders."""
+    """One entry a row (pos, entry) of rows with pos and total: number, title, and below it the row's other fields unless all are placeholders."""
     shown = _numbered(rows).withColumn("meta", meta_line(*[F.col(m) for m in meta]))
     below = F.when(F.col("meta") == "", F.lit("")).otherwise(F.concat(F.lit("\n"), F.repeat(F.lit(" "), F.col("width") + 4), F.col("meta")))
     entry = F.concat(F.col("number"), F.lit(". "), trunc(F.col("track_title"), TITLE_CHARS), below, F.lit("\n"))
@@ -27,7 +27,7 @@ def flat_entries(rows: DataFrame, *meta: str) -> DataFrame:
 
 
 def grouped_lines(rows: DataFrame, key: str) -> DataFrame:
-    """Lines (line_no, line) of rows that are sorted by a key: a header where the key changes, a blank line before every
+    """Lines (line_no, line) of rows (with pos and total) that are sorted by a key: a header where the key changes, a blank line before every
     header but the first, and the numbered titles, which are counted through all groups.
 
     A first group with an empty key gets no header. Where groups begin comes from a smallest number by key, so neither a
@@ -56,7 +56,7 @@ def paginate(lines: DataFrame, number: str, text: str, size: int = PAGE_SIZE) ->
 
 def library_pages(c: Catalogue, mode: str) -> DataFrame:
     """The pages of a browse mode; no rows when there is nothing to show."""
-    rows = views.browse(c, mode)
+    rows = views.browse(c, mode, total="total")
     if mode in ("artist", "origin", "tags"):
         return paginate(grouped_lines(rows, "tag" if mode == "tags" else mode), "line_no", "line")
     meta = ("artist", "origin") if mode == "incomplete" else ("artist", "origin", "tags")

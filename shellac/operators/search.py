@@ -29,7 +29,7 @@ def search_tracks(c: Catalogue, needle: str, limit: int = SEARCH_LIMIT, fold: st
     """Tracks whose title, artist, origin or a tag contains the needle.
 
     The filter stands before the aggregation: a track that is found through a tag alone shows its matching tags, one
-    that is found through another field shows all. Only the first ``limit`` tracks have their tags listed.
+    that is found through another field shows all.
     """
     own = any_matches([F.col(x) for x in ("track_title", "artist", "origin")], needle, fold)
     rows = with_tags(_named(c), c).where(own | matches(F.col("tag"), needle, fold))

@@ -125,8 +125,8 @@ def _pages(table: str, number: str, line: str) -> str:
 
 _add("trunc_title", lambda c: c.tracks.select("id", text.trunc(F.col("track_title"), 36).alias("short")), f" SELECT id, {_trunc('track_title', 36)} AS short FROM tracks")
 _add("meta_line", lambda c: browse.browse_all(c).select("id", text.meta_line(F.col("artist"), F.col("origin"), F.col("tags")).alias("meta")), f"{_NAMED}{_ALL} SELECT id, {_meta('artist', 'origin', 'tags')} AS meta FROM rows_")
-_add("flat_entries", lambda c: render.flat_entries(browse.browse_all(c), "artist", "origin", "tags"), f"{_NAMED}{_ALL}{_entries('artist', 'origin', 'tags')} SELECT * FROM entries")
-_add("grouped_lines", lambda c: render.grouped_lines(browse.browse_tags(c), "tag"), f"{_NAMED}{_BY['tag']}{_lines('tag')} SELECT * FROM lines")
+_add("flat_entries", lambda c: render.flat_entries(browse.browse_all(c, "total"), "artist", "origin", "tags"), f"{_NAMED}{_ALL}{_entries('artist', 'origin', 'tags')} SELECT * FROM entries")
+_add("grouped_lines", lambda c: render.grouped_lines(browse.browse_tags(c, "total"), "tag"), f"{_NAMED}{_BY['tag']}{_lines('tag')} SELECT * FROM lines")
 _add("flat_pages", lambda c: render.library_pages(c, "all"), f"{_NAMED}{_ALL}{_entries('artist', 'origin', 'tags')}{_pages('entries', 'pos', 'entry')}")
 _add("incomplete_pages", lambda c: render.library_pages(c, "incomplete"), f"{_NAMED}{_INCOMPLETE}{_entries('artist', 'origin')}{_pages('entries', 'pos', 'entry')}")
 for _mode, _key in (("artist", "artist"), ("origin", "origin"), ("tags", "tag")):

@@ -65,7 +65,7 @@ def test_numbering_by_ranges_equals_one_window(spark):
 
 def test_grouped_lines(spark):
     c = catalogue(spark, artists=[(1, ""), (2, "A"), (3, "B" * 50)], tracks=[("1", "d", "y", "p", 1, 2), ("2", "d", "y", "q", 2, 2), ("3", "d", "y", "r", 2, 2), ("4", "d", "y", "s", 3, 2)])
-    lines = [r["line"] for r in render.grouped_lines(browse.browse_artists(c), "artist").orderBy("line_no").collect()]
+    lines = [r["line"] for r in render.grouped_lines(browse.browse_artists(c, "total"), "artist").orderBy("line_no").collect()]
     assert lines == ["  1. p", "── A", "  2. q", "  3. r", "", "── " + "B" * 39 + "…", "  4. s"]
 
 
