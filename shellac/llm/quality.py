@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shellac.llm.common import bound_batches, release_memory
 from shellac.llm.linear import Ftrl, platt, sigmoid
 
 BITS = 17
 #: Bytes of text worked through at a time.
-GROUP_BYTES = 4_000_000
+GROUP_BYTES = 1_000_000
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -175,27 +176,31 @@ def judge(docs: DataFrame, model: QualityModel, threshold: float = 0.2, text: st
     """Add the counts, base_failed, quality_score and kept to every row, in Arrow batches and without a shuffle.
 
     ``kept`` is false where the base rules fail, else whether the score reaches the fixed threshold. Null texts count as
-    empty and fail; lines are compared whole; columns of the added names are replaced.
+    empty and fail; lines are compared whole; columns of the added names are replaced. Only the results come back from
+    Python.
     """
+    bound_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ADDED]
-    at = names.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 * 2**BITS weights
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
-                texts = [t or "" for t in b.column(at).to_pylist()]
-                found = [counts(t) for t in texts]
-                failed = [fails_base(x[0], x[4]) for x in found]
-                score = m.scores([t.encode("utf-8", "surrogatepass") for t in texts])
-                own = [pa.array([x[k] for x in found], pa.int64()) for k in range(5)]
-                good = [not f and bool(s >= threshold) for f, s in zip(failed, score)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *own, pa.array(failed), pa.array(score, pa.float64()), pa.array(good)], [*names, *ADDED])
-
-    chosen = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = T.StructType([*chosen.schema.fields])
-    for c in ADDED[:5]:
-        schema = schema.add(c, "long")
-    return chosen.mapInArrow(run, schema.add("base_failed", "boolean").add("quality_score", "double").add("kept", "boolean"))
+    kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
+    result = T.StructType([T.StructField(c, k) for c, k in zip(ADDED, kinds)])
+
+    def run(texts: pa.Array) -> pa.Array:
+        m, columns = shared.value, [[] for _ in ADDED]
+        for i in range(0, len(texts), 512):
+            own = [t or "" for t in texts.slice(i, 512).to_pylist()]
+            found = [counts(t) for t in own]
+            failed = [fails_base(x[0], x[4]) for x in found]
+            score = m.scores([t.encode("utf-8", "surrogatepass") for t in own]).tolist()
+            for k in range(5):
+                columns[k] += [x[k] for x in found]
+            columns[5] += failed
+            columns[6] += score
+            columns[7] += [not f and s >= threshold for f, s in zip(failed, score)]
+        release_memory()
+        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], list(ADDED))
+
+    judged = F.arrow_udf(run, result).asNondeterministic()  # else a filter on the verdict would have it made twice
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], judged(F.col(f"`{text}`")).alias("_judged"))
+    return rows.select(*[F.col(f"`{c}`") for c in names], "_judged.*")

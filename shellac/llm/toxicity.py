@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shellac.llm.common import bound_batches, release_memory
 from shellac.llm.linear import Ftrl, sigmoid
 
 #: Terms that stand for one another in counterfactual sentences, by kind.
@@ -40,7 +41,7 @@ IDENTITY_TERMS = (
 )
 BITS = 20
 #: Distinct words kept with their features per worker; the memo starts anew beyond it.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 120_000
 _WORD, _SENTENCE = re.compile(r"\w+"), re.compile(r"[^.!?\n]+")
 
 
@@ -111,7 +112,7 @@ class ToxicModel:
         return float(sigmoid(self.offset + sum(map(self.weights.__getitem__, hits))))
 
 
-def fit(examples: Iterable[tuple[str, int]], epochs: int = 24, evenness: float = 0.05, l1: float = 0.5, least: float = 25.0, seed: int = 5, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> ToxicModel:
+def fit(examples: Iterable[tuple[str, int]], epochs: int = 24, evenness: float = 0.05, l1: float = 0.5, least: float = 15.0, seed: int = 5, terms: Sequence[Sequence[str]] = IDENTITY_TERMS) -> ToxicModel:
     """Train on (text, label) pairs; without any example every text scores 0.5, with one class only, near that class.
 
     Features whose document counts differ between the classes by a likelihood ratio of at least ``least`` stay; weights
@@ -126,7 +127,7 @@ def fit(examples: Iterable[tuple[str, int]], epochs: int = 24, evenness: float =
     size = 1 << BITS
     by_class = [np.bincount(np.concatenate([np.empty(0, np.int64), *[at for at, y in rows if y == c]]), minlength=size).astype(float) for c in (0.0, 1.0)]
     keep = _likelihood_ratio(by_class, [sum(y == c for _, y in rows) for c in (0.0, 1.0)]) >= least
-    model, free = Ftrl(size + 1, l1=l1), np.array([size])
+    model, free = Ftrl(size + 1, alpha=0.5, l1=l1, l2=0.1), np.array([size])
     rows = [(np.append(at[keep[at]], free), y) for at, y in rows]
     changes = [[(at[keep[at]], x[keep[at]]) for at, x in own if keep[at].any()] for own in changes]
     rng = np.random.default_rng(seed)
@@ -180,18 +181,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> lis
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """Add score (0 to 1) and predicted (1 if at least ``threshold``) to every row, in Arrow batches.
 
-    Null texts count as empty; whole texts are read; columns of the added names are replaced. No shuffle.
+    Null texts count as empty; whole texts are read; columns of the added names are replaced. No shuffle, and only
+    scores come back from Python.
     """
+    bound_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**BITS weights
-    at = kept.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
         m = shared.value
-        for b in batches:
-            s = pa.array([m.score(t or "") for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, "score"])
+        scores = pa.array([m.score(t or "") for i in range(0, len(texts), 512) for t in texts.slice(i, 512).to_pylist()], pa.float64())
+        release_memory()
+        return scores
 
-    chosen = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*chosen.schema.fields, T.StructField("score", T.DoubleType())])
-    return chosen.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = F.arrow_udf(run, T.DoubleType()).asNondeterministic()  # else a filter on the score would have it made twice
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], scored(F.col(f"`{text}`")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
