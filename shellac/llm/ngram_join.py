@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellac.llm.common import broadcast_if_small, materialise
+from shellac.llm.common import bound_batches, broadcast_if_small, discard, materialise, release_memory
 from shellac.llm.components import connected_components
 from shellac.llm.prefix_tree import links as tree_links
 from shellac.llm.shingles import shingle_sets
@@ -74,6 +74,7 @@ def _sets(size: int, percent: int, frequent, whole: bool):
                     [part.column(0), *part.columns[2:], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(out, kind)],
                     ["doc_id", *part.schema.names[2:], "n", "key", "tokens"],
                 )
+            release_memory()
 
     return run
 
@@ -107,8 +108,9 @@ def _documents_of(docs: DataFrame, classes: DataFrame, size: int, percent: int,
     return made.select("key", "tokens").join(some.select("key"), "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
-def _families(classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate links (a, b) of classes (cid, n, prefix): all linked classes are connected by them."""
+def _families(classes: DataFrame, percent: int, scratch: list[DataFrame]) -> DataFrame:
+    """Candidate links (a, b) of classes (cid, n, prefix): all linked classes are connected by them. Tables that it writes are
+    added to ``scratch``."""
     rows = classes.select("cid", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("token"))
     narrow = rows.select("token", "cid")
     shared = materialise(narrow.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1"), "shared")
@@ -128,8 +130,9 @@ def _families(classes: DataFrame, percent: int) -> DataFrame:
 
     # linked sizes differ by less than one range, so a member, its range's leader and the next range's are connected
     ranged = many.join(held.select("cid", "n"), "cid").withColumn("r", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9))
-    leaders = ranged.groupBy("token", "r").agg(F.min("cid").alias("leader"))
-    to_own = ranged.join(leaders, ["token", "r"]).select(F.col("leader").alias("a"), F.col("cid").alias("b")).where("a <> b")
+    leaders = materialise(ranged.groupBy("token", "r").agg(F.min("cid").alias("leader")), "leaders")
+    scratch += [shared, held, leaders]
+    to_own = ranged.join(broadcast_if_small(leaders, leaders.count()), ["token", "r"]).select(F.col("leader").alias("a"), F.col("cid").alias("b")).where("a <> b")
     to_next = leaders.join(leaders.select("token", (F.col("r") - 1).alias("r"), F.col("leader").alias("b")), ["token", "r"]).select(F.col("leader").alias("a"), "b").where("a <> b")
     return near.unionByName(to_own.distinct()).unionByName(to_next.distinct())
 
@@ -145,6 +148,7 @@ def _join_tasks(tasks: DataFrame, percent: int) -> DataFrame:
             cids = own["cid"].tolist()
             found = tree_links(sets, np.flatnonzero(own["probe"].to_numpy(bool)).tolist(), np.flatnonzero(own["member"].to_numpy(bool)).tolist(), percent)
             out += [(cids[a], cids[b]) for a, b in found]
+        release_memory()
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     dealt = tasks.groupBy(F.pmod(F.xxhash64("task"), F.lit(n)).alias("_bucket"))
@@ -161,8 +165,14 @@ def _large_family_links(large: DataFrame, sets: DataFrame, percent: int) -> Data
     return _join_tasks(pairs.select(task.alias("task"), "cid", (F.col("_k") <= F.col("_j")).alias("probe"), (F.col("_k") >= F.col("_j")).alias("member")).join(sets, "cid"), percent)
 
 
+def _drop(scratch: list[DataFrame]) -> None:
+    while scratch:
+        discard(scratch.pop())
+
+
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row a document: doc_id, columns other than the text, n, component (null without a set), component_id."""
+    bound_batches(docs.sparkSession)
     spark, carried = docs.sparkSession, [c for c in docs.columns if c not in ("doc_id", "text")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *carried).schema)
     made = docs.select("doc_id", "text", *carried).mapInArrow(_sets(size, percent, None, False), f"{fields}, n long, key binary, tokens array<long>")
@@ -171,23 +181,28 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     first = rows.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "cid")).alias("r")).select(F.col("r.cid").alias("cid"))
     first = materialise(first, "first")  # the row that stands for its class
     base = rows.join(broadcast_if_small(first, first.count()), "cid", "left_semi").select("cid", "key", F.col("doc_id").alias("rep"), "n", "tokens")
-    late = np.empty(0, np.int64)
+    late, scratch = np.empty(0, np.int64), []
     for _ in range(ROUNDS):
+        _drop(scratch)
         shared = spark.sparkContext.broadcast(late)  # at most ROUNDS * FREQUENT_TOKENS numbers
         own = base.select("cid", "n", "tokens").mapInArrow(_prefixes(percent, shared), "cid long, n long, prefix array<long>")
         classes = materialise(own, "prefixes")
+        scratch.append(classes)
         short = classes.where("prefix is null").select("cid")
         if len(late) and short.limit(1).count():
             short = materialise(base.join(broadcast_if_small(short, short.count()), "cid").select("cid", "key", "rep", "n"), "short")
             again = short.join(_documents_of(docs, short, size, percent, shared, False), "key").select("cid", "n", F.col("tokens").alias("prefix"))
-            classes = classes.where("prefix is not null").unionByName(materialise(again, "again"))
+            again = materialise(again, "again")
+            classes = classes.where("prefix is not null").unionByName(again)
+            scratch += [short, again]
         tokens = classes.select(F.explode("prefix").alias("token")).where(F.col("token") < _LAST)
         new = tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FEW).orderBy(F.col("c").desc(), "token").limit(FREQUENT_TOKENS).collect()
         if not new:
             break
         late = np.sort(np.concatenate([late, np.array([r["token"] for r in new], np.int64)]))
 
-    families = connected_components(_families(classes, percent)).select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    families = connected_components(_families(classes, percent, scratch)).select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    _drop(scratch)
     families = families.withColumn("m", F.count("*").over(Window.partitionBy("family")))
     wanted = materialise(families.join(base.select("cid", "key", "rep"), "cid"), "families")
     sets = materialise(_documents_of(docs, wanted, size, percent, None, True).join(wanted.select("key", "cid"), "key").select("cid", "tokens"), "members")
@@ -197,6 +212,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     if large.limit(1).count():
         found = found.unionByName(_large_family_links(materialise(large, "large"), sets, percent))
     parts = connected_components(found).select(F.col("node").alias("cid"), "component")
+    _drop([sets])
     named = base.select("cid", "key", "rep").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_key = named.join(smallest, "component").select("key", "component", "component_id")

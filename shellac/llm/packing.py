@@ -14,9 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shellac.llm.common import bound_batches, release_memory
+
 #: Pieces packed together by one task; a shard costs at most a few part-filled sequences.
 SHARD_PIECES = 32_768
 _PLACE_BITS = 40
+#: Words that a worker keeps with their ids.
+MEMO_WORDS = 300_000
 
 
 def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
@@ -31,7 +35,7 @@ def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from shellac.llm import tokens
 
-        tokenizer_ = tokens.load(tokenizer)
+        tokenizer_ = tokens.load(tokenizer, MEMO_WORDS)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -51,7 +55,9 @@ def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_i
                     [pa.array(doc, part.schema.field(0).type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
+        release_memory()
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(text)).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids binary")
 

@@ -15,6 +15,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shellac.llm.common import bound_batches, release_memory
+
 #: Rows of a batch; every batch of a file but the last has as many, so a row's batch follows from its number.
 BATCH_ROWS = 256
 #: Bytes of ids that a reading task sends on at a time.
@@ -127,6 +129,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, sequence_length
     table writes no file. Tasks write under names of their own and rename, so a repeated task does no harm.
     ``out`` must be a folder that all executors reach through pyarrow (file on shared storage, hdfs, s3, gs).
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     from shellac.llm import tokens
@@ -153,6 +156,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, sequence_length
                 writer.add(part.column(0).to_pylist(), [b + end for b in texts])
         if writer is not None:
             writer.close()
+            release_memory()
             yield pa.RecordBatch.from_pydict({"file": pa.array([at], pa.int32()), "n_tokens": pa.array([writer.total], pa.int64()), "n_docs": pa.array([writer.count], pa.int64())})
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))

@@ -13,7 +13,7 @@ import os
 import re
 from array import array
 
-#: Words kept per worker; the memo starts anew beyond it, so memory is bounded whatever the corpus.
+#: Words kept per worker unless a caller says otherwise; the memo starts anew beyond it, so memory is bounded whatever the corpus.
 MEMO_WORDS = 700_000
 #: Longer words are encoded each time and not kept.
 MEMO_CHARS = 40
@@ -36,11 +36,12 @@ def _pack(ids: list[int]) -> bytes:
 class WordTokenizer:
     """``encode(text)`` gives ids as little-endian unsigned 32-bit bytes, equal to the library's for every text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.memo_words = MEMO_WORDS if memo_words is None else memo_words
         described = json.loads(self.library.to_str())
         pre, norm = described.get("pre_tokenizer") or {}, described.get("normalizer")
         split = (pre.get("pretokenizers") or [{}])[0]
@@ -81,11 +82,10 @@ class WordTokenizer:
         found = self.library.encode_batch_fast([before + w for w in rest], add_special_tokens=False)
         memo.update((w, _pack(e.ids)) for w, e in zip(rest, found))
 
-    @staticmethod
-    def _trim(memo: dict[str, bytes], words: set[str]) -> dict[str, bytes]:
-        if len(memo) <= MEMO_WORDS:
+    def _trim(self, memo: dict[str, bytes], words: set[str]) -> dict[str, bytes]:
+        if len(memo) <= self.memo_words:
             return memo
-        return {w: memo[w] for w in words if len(w) <= MEMO_CHARS} if len(words) <= MEMO_WORDS // 2 else {}
+        return {w: memo[w] for w in words if len(w) <= MEMO_CHARS} if len(words) <= self.memo_words // 2 else {}
 
     def _bare(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -138,10 +138,10 @@ class WordTokenizer:
         return self.encode_many([text])[0]
 
 
-def load(path: str) -> WordTokenizer:
+def load(path: str, memo_words: int | None = None) -> WordTokenizer:
     """The worker's tokenizer for a file, loaded once per process."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.set_threshold(200_000, 20, 100)  # the memo holds no cycles, and going through it costs
-        _loaded[path] = WordTokenizer(path)
+        _loaded[path] = WordTokenizer(path, memo_words)
     return _loaded[path]
