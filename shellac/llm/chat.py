@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Turns whose spans are worked out together.
+CHUNK = 256
 START, END, SEP, NEWLINE = "<|im_start|>", "<|im_end|>", "<|im_sep|>", "<|im_nl|>"
 
 
@@ -50,7 +52,6 @@ def format_chats(turns: DataFrame, learned: tuple[str, ...] = ("assistant",)) ->
         head = F.when(same_before, F.lit(SEP)).otherwise(F.concat(F.lit(START), t["role"], F.lit("\n")))
         return F.struct(head.alias("head"), t["text"].alias("text"), F.when(same_after, F.lit("")).otherwise(F.lit(END + "\n")).alias("tail"), t["learned"].alias("learned"))
 
-    merged = chats.withColumn("parts", F.transform("turns", parts))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def advance(acc: Column, p: Column) -> Column:
@@ -59,10 +60,17 @@ def format_chats(turns: DataFrame, learned: tuple[str, ...] = ("assistant",)) ->
         span = F.struct(start.alias("start"), end.alias("end"))
         return F.struct((end + F.length(p["tail"])).alias("at"), F.when(p["learned"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return merged.select(
+    # spans inside runs of CHUNK parts, then the place of each run: appending copies, so one long run would cost its square
+    merged = chats.select("conv_id", F.transform("turns", parts).alias("parts"))
+    count = F.floor((F.size("parts") - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), count), lambda k: F.aggregate(F.slice("parts", k * CHUNK + 1, F.lit(CHUNK)), zero, advance))
+    begin = F.aggregate("chunks", F.array(F.lit(0)), lambda acc, c: F.array_append(acc, F.element_at(acc, -1) + c["at"]))
+    moved = lambda c, k: F.transform(c["spans"], lambda s: F.struct((s["start"] + F.get("begin", k)).alias("start"), (s["end"] + F.get("begin", k)).alias("end")))
+    placed = merged.withColumn("chunks", chunks).withColumn("begin", begin)
+    return placed.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["text"], p["tail"])), "").alias("formatted"),
-        F.aggregate("parts", zero, advance)["spans"].alias("loss_spans"),
+        F.flatten(F.transform("chunks", moved)).alias("loss_spans"),
     )
 
 
@@ -77,5 +85,13 @@ def read_turns(chats: DataFrame) -> DataFrame:
         return F.transform(F.split(body, r"<\|im_sep\|>", -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
     blocks = F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 1 << 30)
-    spans = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
-    return chats.select("conv_id", F.flatten(F.transform(blocks, run)).alias("turns"), spans.alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"))
+    # the text is cut to what some spans cover before each is cut out, as cutting counts characters from the start
+    count = F.floor((F.size("loss_spans") - 1) / CHUNK).cast("int")
+    some = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), lambda k: F.slice("loss_spans", k * CHUNK + 1, F.lit(CHUNK))), lambda x: F.size(x) > 0)
+
+    def cut(x: Column) -> Column:
+        first, last = F.element_at(x, 1)["start"], F.element_at(x, -1)["end"]
+        own = F.array(F.struct(F.substring(F.col("formatted"), first + 1, last - first).alias("piece"), first.alias("first"), x.alias("spans")))
+        return F.flatten(F.transform(own, lambda o: F.transform(o["spans"], lambda s: unescape(F.substring(o["piece"], s["start"] - o["first"] + 1, s["end"] - s["start"])))))
+
+    return chats.select("conv_id", F.flatten(F.transform(blocks, run)).alias("turns"), F.flatten(F.transform(some, cut)).alias("loss_texts"), F.length("formatted").cast("long").alias("formatted_chars"))

