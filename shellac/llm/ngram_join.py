@@ -203,14 +203,15 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     families = connected_components(_families(classes, percent, scratch)).select(F.col("node").alias("cid"), F.col("component").alias("family"))
     _drop(scratch)
-    families = families.withColumn("m", F.count("*").over(Window.partitionBy("family")))
-    wanted = materialise(families.join(base.select("cid", "key", "rep"), "cid"), "families")
+    families = materialise(families, "families")
+    large = materialise(families.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > FAMILY), "large")
+    families = families.join(broadcast_if_small(large, large.count()), "family", "left")
+    wanted = materialise(families.join(base.select("cid", "key", "rep"), "cid"), "wanted")
     sets = materialise(_documents_of(docs, wanted, size, percent, None, True).join(wanted.select("key", "cid"), "key").select("cid", "tokens"), "members")
-    small = wanted.where(F.col("m") <= FAMILY).select(F.col("family").cast("string").alias("task"), "cid", F.lit(True).alias("probe"), F.lit(True).alias("member"))
+    small = wanted.where("m is null").select(F.col("family").cast("string").alias("task"), "cid", F.lit(True).alias("probe"), F.lit(True).alias("member"))
     found = _join_tasks(small.join(sets, "cid"), percent)
-    large = wanted.where(F.col("m") > FAMILY).select("family", "cid", "m")
     if large.limit(1).count():
-        found = found.unionByName(_large_family_links(materialise(large, "large"), sets, percent))
+        found = found.unionByName(_large_family_links(wanted.where("m is not null").select("family", "cid", "m"), sets, percent))
     parts = connected_components(found).select(F.col("node").alias("cid"), "component")
     _drop([sets])
     named = base.select("cid", "key", "rep").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
