@@ -42,6 +42,8 @@ IDENTITY_TERMS = (
 BITS = 20
 #: Distinct words kept with their features per worker; the memo starts anew beyond it.
 MEMO_WORDS = 120_000
+#: The same for the driver while it fits.
+FIT_WORDS = 20_000
 _WORD, _SENTENCE = re.compile(r"\w+"), re.compile(r"[^.!?\n]+")
 
 
@@ -58,14 +60,14 @@ def text_words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def features(text: str, memo: dict[str, list[int]] | None = None) -> np.ndarray:
+def features(text: str, memo: dict[str, list[int]] | None = None, most: int = MEMO_WORDS) -> np.ndarray:
     """Distinct hashed features of a whole text."""
     memo = {} if memo is None else memo
     found: set[int] = set()
     for w in text_words(text):
         own = memo.get(w)
         if own is None:
-            if len(memo) >= MEMO_WORDS:
+            if len(memo) >= most:
                 memo.clear()
             own = memo[w] = word_features(w)
         found.update(own)
@@ -119,17 +121,19 @@ def fit(examples: Iterable[tuple[str, int]], epochs: int = 24, evenness: float =
     of chance words would add up in long texts. After each labelled text the swaps of its sentences that name a
     group follow as penalties of strength ``evenness`` on the score change.
     """
-    memo: dict[str, list[int]] = {}
+    examples, memo, size = list(examples), {}, 1 << BITS
+    counts, totals = [np.zeros(size, np.int32) for _ in (0, 1)], [0, 0]
+    for t, y in examples:  # features are made twice, as all of them at once would take the driver hundreds of MB
+        counts[y][features(t, memo, FIT_WORDS)] += 1
+        totals[y] += 1
+    keep = _likelihood_ratio(counts, totals) >= least
+    model, free = Ftrl(size + 1, alpha=0.5, l1=l1, l2=0.1), np.array([size])
     rows, changes = [], []
     for t, y in examples:
-        rows.append((features(t, memo), float(y)))
-        changes.append([d for s in _SENTENCE.findall(t) if (d := _difference(s, terms)) is not None])
-    size = 1 << BITS
-    by_class = [np.bincount(np.concatenate([np.empty(0, np.int64), *[at for at, y in rows if y == c]]), minlength=size).astype(float) for c in (0.0, 1.0)]
-    keep = _likelihood_ratio(by_class, [sum(y == c for _, y in rows) for c in (0.0, 1.0)]) >= least
-    model, free = Ftrl(size + 1, alpha=0.5, l1=l1, l2=0.1), np.array([size])
-    rows = [(np.append(at[keep[at]], free), y) for at, y in rows]
-    changes = [[(at[keep[at]], x[keep[at]]) for at, x in own if keep[at].any()] for own in changes]
+        at = features(t, memo, FIT_WORDS)
+        rows.append((np.append(at[keep[at]], free), float(y)))
+        own = [d for s in _SENTENCE.findall(t) if (d := _difference(s, terms)) is not None]
+        changes.append([(at[keep[at]], x[keep[at]]) for at, x in own if keep[at].any()])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in rng.permutation(len(rows)):
@@ -143,7 +147,7 @@ def fit(examples: Iterable[tuple[str, int]], epochs: int = 24, evenness: float =
 
 def _likelihood_ratio(counts: Sequence[np.ndarray], totals: Sequence[int]) -> np.ndarray:
     """G statistic of each feature's document counts in two classes."""
-    found, all_docs = counts[0] + counts[1], max(1, sum(totals))
+    found, all_docs = (counts[0] + counts[1]).astype(float), max(1, sum(totals))
     g = np.zeros_like(found)
     for c, n in zip(counts, totals):
         for seen, expected in ((c, found * n / all_docs), (n - c, (all_docs - found) * n / all_docs)):
