@@ -26,5 +26,5 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "pos", total
     ranged = materialise(ranged.withColumn("_range", F.shiftright("_at", 33)), "numbered")
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row a range
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    out = ranged.join(before, "_range").withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int"))
+    out = ranged.join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int"))
     return out.withColumnRenamed("_all", total).drop("_range", "_at", "_before") if total else out.drop("_range", "_at", "_before", "_all")

@@ -8,7 +8,8 @@ from shellac.schema import TABLES
 from shellac.sources.catalogue import Catalogue
 
 _ARTIST, _ORIGIN = "cast(cast(substring(source, 4) as int) + 1 as bigint)", "cast(case lang when 'de' then 1 when 'en' then 2 when 'es' then 3 else 4 end as bigint)"
-_TITLE = "left(split_part(text, chr(10), 1), 120)"
+#: The whole text: titles have no bound.
+_TITLE = "text"
 
 DOCUMENTS = {
     "tracks": f"SELECT cast(doc_id as varchar(20)) AS id, 'Unknown Date' AS upload_date, {_TITLE} AS yt_title, {_TITLE} AS track_title, {_ARTIST} AS artist_id, {_ORIGIN} AS origin_id FROM documents",

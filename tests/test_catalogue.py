@@ -3,11 +3,13 @@
 import json
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from shellac.operators import browse, dml, ingest, numbering, render, search, sync
 from shellac.plans import commands
 from shellac.schema import TABLES, Dimension
+from shellac.sources.adapters import adapted
 from shellac.sources.catalogue import Catalogue, drop_catalogue, empty_catalogue, read_catalogue
 from shellac.sources.files import present_ids
 from shellac.sources.json_files import parse_download, read_ingest
@@ -173,3 +175,12 @@ def test_write_read_register_drop(small, spark, tmp_path):
     drop_catalogue(spark)
     assert empty_catalogue(spark).artists.first()["artist"] == "No artist provided"
     assert search.search_dimension(small, Dimension.TAG, "A").first()["name"] == "calm"
+
+
+def test_titles_of_documents_are_the_whole_texts(spark):
+    """Matches late in a text, and after its first line, are found."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    c = adapted(spark, SF)
+    assert pairs(c.tracks, "id", "track_title") == pairs(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("track_title")), "id", "track_title")
+    late = next(r["text"] for r in docs.orderBy("doc_id").collect() if len(r["text"]) > 1000)[-40:].replace("%", "").replace("_", "")
+    assert search.search_tracks(c, late).count() > 0
