@@ -29,7 +29,7 @@ PARTS = {
     "artists": f"SELECT DISTINCT {_BRAND} AS id, CASE WHEN p_brand = 'Brand#1' THEN 'No artist provided' ELSE p_brand END AS artist FROM part",
     "origins": f"SELECT DISTINCT {_KIND} AS id, CASE WHEN p_type = 'ECONOMY' THEN 'No origin provided' ELSE p_type END AS origin FROM part",
     "tags": "SELECT cast(n_nationkey as bigint) AS id, n_name AS tag FROM nation",
-    "track_tags": "SELECT DISTINCT cast(l_partkey as varchar(20)) AS track_id, cast(s_nationkey as bigint) AS tag_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_discount = 0.1 AND l_returnflag = 'R'",
+    "track_tags": "SELECT DISTINCT cast(l_partkey as varchar(20)) AS track_id, cast(s_nationkey as bigint) AS tag_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
 }
 ADAPTERS = {"documents": DOCUMENTS, "parts": PARTS}
 _USES = {"documents": ("documents", "labels"), "parts": ("part", "nation", "lineitem", "supplier")}

@@ -184,3 +184,9 @@ def test_titles_of_documents_are_the_whole_texts(spark):
     assert pairs(c.tracks, "id", "track_title") == pairs(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("track_title")), "id", "track_title")
     late = next(r["text"] for r in docs.orderBy("doc_id").collect() if len(r["text"]) > 1000)[-40:].replace("%", "").replace("_", "")
     assert search.search_tracks(c, late).count() > 0
+
+
+def test_parts_have_the_tags_of_all_their_line_items(spark):
+    suppliers = {r["s_suppkey"]: r["s_nationkey"] for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    want = {(str(r["l_partkey"]), suppliers[r["l_suppkey"]]) for r in spark.read.parquet(f"{SF}/lineitem.parquet").collect()}
+    assert pairs(adapted(spark, SF, "parts").track_tags, "track_id", "tag_id") == sorted(want)
