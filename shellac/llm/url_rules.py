@@ -1,16 +1,18 @@
-"""URL filter: hand-written host and path rules, and association rules that FP-growth mines from labelled URLs."""
+"""URL filter: hand-written host and path rules, and association rules that are mined from labelled URLs."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shellac.llm.common import materialise
+
 #: Host, path and verdict; the longest rule that fits decides.
 DEFAULT_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 BLOCK, ALLOW = "label=block", "label=allow"
@@ -58,24 +60,82 @@ class MinedRule:
     support: float
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.2, most: int = 10_000) -> list[MinedRule]:
-    """Rules ``tokens -> block`` of a table (tokens, blocked), by Spark's FP-growth over all its rows.
+def _larger_sets(shapes: DataFrame, opened: Mapping[tuple[int, ...], object], ids: Mapping[str, int], least: float) -> DataFrame:
+    """Count the token sets that are one larger than the opened ones, all of whose parts are opened: set, n, b."""
+    tree: dict = {}
+    for own in opened:
+        node = tree
+        for t in own:
+            node = node.setdefault(t, {})
+    shared = shapes.sparkSession.sparkContext.broadcast((tree, frozenset(opened), dict(ids)))
 
-    Rules below the support, confidence or lift go, then those with a part of their tokens that is as confident. The
-    ``most`` strongest make up the model, so its size has a bound. Null labels and null tokens are left out; without
-    labelled rows there are no rules.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, known, id_of = shared.value
+        depth = len(next(iter(known)))
+        counts: dict[tuple[int, ...], list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            n, b = (pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))
+            out = pa.RecordBatch.from_arrays([pa.array(map(list, counts), pa.list_(pa.int32())), n, b], ["set", "n", "b"])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for tokens, n, b in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                own = sorted(id_of[t] for t in tokens if t in id_of)
+                found = [((), root, 0)]
+                for _ in range(depth):
+                    found = [((*s, t), node[t], i + 1) for s, node, at in found for i, t in enumerate(own[at:], at) if t in node]
+                for s, _, at in found:
+                    for t in own[at:]:
+                        if all((*s[:i], *s[i + 1 :], t) in known for i in range(depth)):
+                            c = counts.setdefault((*s, t), [0, 0])
+                            c[0] += n
+                            c[1] += b
+                if len(counts) > 100_000:
+                    yield flush()
+        yield flush()
+
+    parts = shapes.mapInArrow(run, "set array<int>, n long, b long")
+    return parts.groupBy("set").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= least)
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.2) -> list[MinedRule]:
+    """Rules ``tokens -> block`` of a table (tokens, blocked), over all its rows: every one that passes the support, confidence and
+    lift, but for those with a part of their tokens that is as confident.
+
+    Sets of tokens grow by one token a round. One that stands on the same pages as a part of it is never grown, nor is
+    one whose pages are all blocked, as nothing larger can be more confident; so a shape of k constant tokens takes k sets
+    and not 2**k, and no rule needs to be left out. Null labels and null tokens are left out; without labelled rows there are no
+    rules.
     """
-    label = F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    baskets = labelled.where(F.col("blocked").isNotNull() & F.col("tokens").isNotNull()).select(F.array_distinct(F.concat("tokens", F.array(label))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.col("lift") >= min_lift) & ~F.array_contains("antecedent", ALLOW))
-    best = rules.withColumn("antecedent", F.array_sort("antecedent")).orderBy(F.col("confidence").desc(), F.col("support").desc(), "antecedent").limit(most).collect()
-    kept: dict[frozenset[str], MinedRule] = {}
-    for r in sorted(best, key=lambda r: (len(r["antecedent"]), r["antecedent"])):
-        own = frozenset(r["antecedent"])
-        if not any(part < own and rule.confidence >= r["confidence"] for part, rule in kept.items()):
-            kept[own] = MinedRule(own, r["confidence"], r["support"])
-    return sorted(kept.values(), key=lambda m: (-m.confidence, -m.support, sorted(m.tokens)))
+    kept = labelled.where(F.col("blocked").isNotNull() & F.col("tokens").isNotNull()).select(F.array_sort(F.array_distinct(F.array_compact("tokens"))).alias("tokens"), F.col("blocked").cast("long").alias("b"))
+    shapes = materialise(kept.groupBy("tokens").agg(F.count("*").alias("n"), F.sum("b").alias("b")), "shapes")
+    pages, blocked = shapes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    if not blocked:
+        return []
+    least = math.ceil(min_support * pages)
+    singles = shapes.select(F.explode("tokens").alias("token"), "n", "b").groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= least).collect()
+    names = sorted(r["token"] for r in singles)
+    ids = {t: i for i, t in enumerate(names)}
+    counted = [((ids[r["token"]],), r["n"], r["b"]) for r in singles]
+    rules: list[MinedRule] = []
+    opened: dict[tuple[int, ...], tuple[int, float]] = {(): (pages + 1, 0.0)}  # pages, and the best confidence of a set or a part of it
+    while counted:
+        larger: dict[tuple[int, ...], tuple[int, float]] = {}
+        for own, n, b in counted:
+            parts = [opened[own[:i] + own[i + 1 :]] for i in range(len(own))]
+            best, confidence = max(p[1] for p in parts), b / n
+            if n == min(p[0] for p in parts):
+                continue
+            if confidence > best and confidence >= min_confidence and confidence / (blocked / pages) >= min_lift:
+                rules.append(MinedRule(frozenset(names[t] for t in own), confidence, b / pages))
+            if b < n:
+                larger[own] = n, max(best, confidence)
+        opened = larger
+        grown = {names[t]: t for own in opened for t in own}
+        counted = [(tuple(r["set"]), r["n"], r["b"]) for r in _larger_sets(shapes, opened, grown, least).collect()] if len(grown) > 1 else []
+    return sorted(rules, key=lambda m: (-m.confidence, -m.support, sorted(m.tokens)))
 
 
 class Matcher:
@@ -121,7 +181,7 @@ def judge(pages: DataFrame, mined: Sequence[MinedRule], rules: Mapping[str, str]
     added = ("host", "path", "rule", "verdict", "mined_rule")
     names = [c for c in pages.columns if c not in added]
     at = names.index(url)
-    shared = pages.sparkSession.sparkContext.broadcast(Matcher(rules, mined))  # bounded by mine()
+    shared = pages.sparkSession.sparkContext.broadcast(Matcher(rules, mined))  # bounded by the support that mine() asks for
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

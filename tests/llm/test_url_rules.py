@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -58,3 +61,27 @@ def test_query_has_every_page(spark):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == url_rules.DEFAULT_RULES[rule] if rule else r["verdict"] in ("allow", "block")
     assert pages.where(F.col("url").isNull()).count() == 0
+
+
+def test_no_rule_is_lost_behind_a_long_shape(spark):
+    """One shape of fourteen constant tokens holds 2**14 sets of confidence 1, a host blocked in 80 % has less."""
+    long = [f"shape{i}" for i in range(14)]
+    rows = [(long, True)] * 400 + [(["host=spam"], i % 5 > 0) for i in range(200)] + [(["host=good"], False)] * 600
+    rules = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))
+    assert {(r.tokens, r.confidence) for r in rules} == {(frozenset([t]), 1.0) for t in long} | {(frozenset(["host=spam"]), 0.8)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mining_equals_brute_force(spark, seed):
+    r = random.Random(seed)
+    rows = [([t for t in "abcdef" if r.random() < 0.5], r.random() < 0.4) for _ in range(150)]
+    base = sum(b for _, b in rows) / len(rows)
+    passed = {}
+    for k in range(1, 7):
+        for own in map(frozenset, itertools.combinations("abcdef", k)):
+            hits = [b for tokens, b in rows if own <= set(tokens)]
+            if hits and sum(hits) >= 0.02 * len(rows) and (c := sum(hits) / len(hits)) >= 0.5 and c / base >= 1.2:
+                passed[own] = c
+    want = {own: c for own, c in passed.items() if not any(part < own and passed[part] >= c for part in passed)}
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.02, 0.5)
+    assert {m.tokens: m.confidence for m in got} == want and any(len(x) > 2 for x in want)
