@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from shellac.llm.common import ascii_lower
 from shellac.llm.license_rules import BASE, Rule, default_rules
 
-#: Words from a keyword on that a rule may match; no detection is longer.
-REACH = 24
+#: Words from a keyword on that a rule is first matched against: more than the longest rule without open repeats can match (27).
+REACH = 32
+#: Rules with open repeats (``*`` over words) whose match takes more words than this are matched again, against all the rest. A
+#: shorter match has not come near the end of its window, so more words would not change it.
+OPEN_FROM = REACH // 2
 #: Characters that are not part of a word, after A-Z became a-z.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -35,7 +38,8 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Sequence[tu
 
     Null and empty texts have no words and no labels; columns of the added names are replaced; rows don't
     influence each other, so repeated rows, ties and empty tables need nothing special. The work is linear in
-    the words, as a detection is held only against those that start at most ``REACH`` words before.
+    the words, as a detection is held only against those that start at most ``REACH`` words before; the long end of an open
+    rule's match holds numbers only, in which no detection starts.
     """
     rules = tuple(default_rules() if rules is None else rules)
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
@@ -60,7 +64,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Sequence[tu
     rows = rows.withColumn("_base", F.array_compact(F.array(*found)))
 
     def entry(r: Rule) -> Column:
-        return F.struct(F.lit(r.rank).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.strength).alias("strength"))
+        return F.struct(F.lit(r.rank).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.strength).alias("strength"), F.lit(")*" in r.pattern).alias("open"))
 
     by_word = F.create_map(*[x for k in keywords for x in (F.lit(k), F.array(*[entry(r) for r in rules if k in r.keywords]))])
     known = F.array(*map(F.lit, keywords))
@@ -72,7 +76,14 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Sequence[tu
 
     def at_anchor(a: Column) -> Column:
         window = F.array_join(F.slice(w, a["i"] + 1, F.lit(REACH)), " ")
-        tried = F.transform(F.try_element_at(by_word, a["word"]), lambda r: F.struct(r.alias("r"), F.regexp_extract_all(window, r["pattern"], F.lit(0)).alias("m")))
+        rest = F.array_join(F.slice(w, a["i"] + 1, F.size(w)), " ")
+
+        def match(r: Column) -> Column:
+            m = F.regexp_extract_all(window, r["pattern"], F.lit(0))
+            long = r["open"] & (F.size(F.split(F.coalesce(F.get(m, F.lit(0)), F.lit("")), " ")) > OPEN_FROM)
+            return F.struct(r.alias("r"), F.when(long, F.regexp_extract_all(rest, r["pattern"], F.lit(0))).otherwise(m).alias("m"))
+
+        tried = F.transform(F.try_element_at(by_word, a["word"]), match)
         hits = F.transform(
             F.filter(tried, lambda t: F.size(t["m"]) > 0),
             lambda t: F.struct(a["i"].alias("start"), (a["i"] + F.size(F.split(F.get(t["m"], F.lit(0)), " "))).alias("end"), t["r"]["label"].alias("label"), t["r"]["rank"].alias("rank"), t["r"]["strength"].alias("strength")),

@@ -87,3 +87,14 @@ def test_no_rows(spark):
 def test_another_rule_list(spark):
     df = spark.createDataFrame([("licensed under the gnu gpl",)], "text string")
     assert licenses.scan(df, [r for r in RULES if r.label == "gpl"][:3]).first()["labels"] == "gpl"
+
+
+def test_detections_end_where_the_whole_rest_ends_them(spark, monkeypatch):
+    """Against a brute force without a reach; the longest rule takes 27 words, and an identifier any number of them."""
+    long = "licensed under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 or any later version"
+    longest = "licensed under the terms of the creative commons attribution non commercial license as published by the free software foundation either version 2 1 or any later version"
+    texts = [long, f"{longest} x", *[f"spdx license identifier gpl {'2 ' * n}or later gnu gpl" for n in (1, 9, 11, 12, 13, 14, 26, 27, 28, 29, 500)]]
+    got = scanned(spark, texts)
+    monkeypatch.setattr(licenses, "REACH", 1_000_000)
+    assert got == [brute(t) for t in texts]
+    assert max(d[1] for d in got[0]["detections"]) == 26 and max(d[1] for d in got[1]["detections"]) == 28 - 1
