@@ -19,28 +19,27 @@ from shellac.llm.common import bound_batches, release_memory
 #: Pieces packed together by one task; a shard costs at most a few part-filled sequences.
 SHARD_PIECES = 32_768
 _PLACE_BITS = 40
-#: Words that a worker keeps with their ids.
-MEMO_WORDS = 300_000
 
 
-def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
+def tokenise_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", memo_words: int | None = None) -> DataFrame:
     """Cut every document's ids, with ``end_id`` behind, into pieces of at most ``capacity``.
 
     Only documents longer than the capacity are cut; their last piece may be shorter. Null texts count as empty
     (one piece that holds the end id). Columns: doc_id, piece int, start long, length long, ids binary
-    (little-endian unsigned 32-bit). Repeated rows and doc_ids give pieces of their own each.
+    (little-endian unsigned 32-bit). Repeated rows and doc_ids give pieces of their own each. ``memo_words`` bounds the
+    words that a worker keeps with their ids.
     """
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from shellac.llm import tokens
 
-        tokenizer_ = tokens.load(tokenizer, MEMO_WORDS)
+        tokenizer_ = tokens.load(tokenizer, memo_words)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids = tokenizer_.encode_many([t or "" for t in part.column(1).to_pylist()])
+                ids = tokenizer_.encode_many(part.column(1))
                 doc, piece, start, length, data = [], [], [], [], []
                 for d, b in zip(part.column(0).to_pylist(), ids):
                     b += end

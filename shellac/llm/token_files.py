@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, sequence_length
                 if writer is None:
                     at = part.column(2)[0].as_py()
                     writer = _Writer(fs, f"{folder}/part-{at:06d}", str(TaskContext.get().taskAttemptId()), kind, sequence_length, part.schema.field(0).type)
-                texts = encoder.encode_many([t or "" for t in part.column(1).to_pylist()])
+                texts = encoder.encode_many(part.column(1))
                 writer.add(part.column(0).to_pylist(), [b + end for b in texts])
         if writer is not None:
             writer.close()

@@ -2,7 +2,7 @@
 
 Both supported pre-tokenizers treat the parts between white space on their own, so a text's ids are the ids of
 its parts in order. Where that does not hold (two white-space characters in a row, an unknown kind of file) the
-whole text goes to the library.
+whole text goes to the library. Texts are split, and their words numbered, by Arrow; ids are put together by numpy.
 """
 
 from __future__ import annotations
@@ -10,17 +10,22 @@ from __future__ import annotations
 import gc
 import json
 import os
-import re
 from array import array
 
-#: Words kept per worker unless a caller says otherwise; the memo starts anew beyond it, so memory is bounded whatever the corpus.
-MEMO_WORDS = 700_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words kept per worker unless a caller says otherwise, in two generations: when the younger is half of it, the older one goes and
+#: takes the words with it that were not met since. So memory is bounded whatever the corpus, and common words stay.
+MEMO_WORDS = 800_000
 #: Longer words are encoded each time and not kept.
 MEMO_CHARS = 40
-#: Characters of text worked through at a time.
-GROUP_CHARS = 4_000_000
+#: Bytes of text worked through at a time; a longer text is cut at white space.
+GROUP_BYTES = 4_000_000
 
-_TWO_SPACES = re.compile(r"\s\s")
+#: Two characters of Unicode white space.
+_TWO_SPACES = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 #: Signs behind a word; up to three of them are one pre-token. The letters before, up to ÿ, are stable under NFC.
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Byte-level files write the bytes outside printable Latin-1 as the characters from U+0100 on, in order.
@@ -51,88 +56,135 @@ class WordTokenizer:
             self.kind = "bare"
         else:
             self.kind = "whole"
-        self.bare: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
-        self.model, self.tails, self.newline = self.library.model, {}, self._whole("\n")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.model, self.tails, self.newline = self.library.model, {"": b""}, self._whole("\n")
         self.table = [_pack([i]) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
 
     def _whole(self, text: str) -> bytes:
         return _pack(self.library.encode(text, add_special_tokens=False).ids)
 
-    def _fill(self, memo: dict[str, bytes], words: set[str], before: str) -> None:
-        """Add the words that the memo lacks: plain letters with punctuation behind straight from the library's
-        model, all others through its whole chain."""
-        rest, lower, lead, tails = [], self.kind == "bare", "\u0120" if before else "", self.tails
-        tokenize, table = self.model.tokenize, self.table
-        for w in words - memo.keys():
-            stem = w.rstrip(_SIGNS)
-            if not stem.isalpha() or len(w) - len(stem) > 3 or not stem.isascii() and max(stem) > "ÿ":
-                rest.append(w)
+    def _make(self, units: list[str]) -> list[bytes]:
+        """Ids of units that the memo lacks: plain letters with punctuation behind straight from the library's
+        model, all others through its whole chain. A unit of the spaced kind has a space before it or begins with a line feed."""
+        spaced, young, old, tails, table, tokenize = self.kind == "spaced", self.young, self.old, self.tails, self.table, self.model.tokenize
+        out: list[bytes] = []
+        rest: list[tuple[int, bytes, str]] = []
+        for i, u in enumerate(units):
+            if u.isalpha():
+                head, before, key, stem, tail = b"", "Ġ" if spaced else "", u, u, ""
+            else:
+                begins = spaced and u[:1] == "\n"
+                head, before, body = (self.newline, "", u[1:]) if begins else (b"", "Ġ" if spaced else "", u)
+                stem = body.rstrip(_SIGNS)
+                tail = body[len(stem) :]
+                key = u[: len(u) - len(tail)]
+            if not stem.isalpha() or len(tail) > 3 or not stem.isascii() and max(stem) > "ÿ":
+                whole = u[1:] if head else (" " + u if spaced else u)
+                out.append(head)
+                rest.append((i, head, whole))
                 continue
-            ids = memo.get(stem)
+            ids = young.get(key) or old.get(key)
             if ids is None:
-                s = stem.lower() if lower else stem
+                s = stem if spaced else stem.lower()
                 s = s if s.isascii() else s.encode().decode("latin-1").translate(_BYTE_CHARS)
-                ids = memo[stem] = b"".join([table[x.id] for x in tokenize(lead + s)])
-            if len(stem) < len(w):
-                tail = w[len(stem) :]
-                if tail not in tails:
-                    tails[tail] = self._whole(tail)
-                memo[w] = ids + tails[tail]
-        found = self.library.encode_batch_fast([before + w for w in rest], add_special_tokens=False)
-        memo.update((w, _pack(e.ids)) for w, e in zip(rest, found))
-
-    def _trim(self, memo: dict[str, bytes], words: set[str]) -> dict[str, bytes]:
-        if len(memo) <= self.memo_words:
-            return memo
-        return {w: memo[w] for w in words if len(w) <= MEMO_CHARS} if len(words) <= self.memo_words // 2 else {}
-
-    def _bare(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        self._fill(self.bare, words, "")
-        get = self.bare.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        self.bare = self._trim(self.bare, words)
+                ids = head + b"".join([table[x.id] for x in tokenize(before + s)])
+                if tail and len(key) <= MEMO_CHARS:
+                    young[key] = ids
+            if tail not in tails:
+                tails[tail] = self._whole(tail)
+            out.append(ids + tails[tail])
+        found = self.library.encode_batch_fast([x[2] for x in rest], add_special_tokens=False)
+        for (i, head, _), e in zip(rest, found):
+            out[i] = head + _pack(e.ids)
         return out
 
-    def _spaced(self, texts: list[str]) -> list[bytes]:
-        """White space in these texts stands alone, so each line is its first word and words led by a space."""
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        heads = {line[0] for lines in split for line in lines}
-        words: set[str] = set()
-        for lines in split:
-            words.update(*lines)
-        self._fill(self.bare, heads, "")
-        self._fill(self.spaced, words, " ")
-        first, more, out = self.bare, self.spaced.__getitem__, []
-        for lines in split:
-            out.append(self.newline.join([first[line[0]] + b"".join(map(more, line[1:])) for line in lines]))
-        self.bare, self.spaced = self._trim(self.bare, heads), self._trim(self.spaced, words)
+    def _ids_of(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units."""
+        out = list(map(self.young.get, units))
+        young, old, new = self.young, self.old, []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            ids = out[i] = old.get(units[i])
+            if ids is None:
+                new.append(i)
+            else:
+                young[units[i]] = ids
+        for i, ids in zip(new, self._make([units[i] for i in new])):
+            out[i] = ids
+            if len(units[i]) <= MEMO_CHARS:
+                young[units[i]] = ids
+        if len(young) > self.memo_words // 2:
+            self.old, self.young = young, {}
         return out
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; texts are worked through in groups of bounded size."""
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for t in texts:
-            if self.kind == "whole" or self.kind == "spaced" and _TWO_SPACES.search(t):
-                out += self._group(group)
-                group, size = [], 0
-                out.append(self._whole(t))
-                continue
-            group.append(t)
-            size += len(t)
-            if size > GROUP_CHARS:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return self._bare(texts) if self.kind == "bare" else self._spaced(texts)
+    def _group(self, texts: pa.Array, opens: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts end to end, and how many each has. ``opens`` is false for the later parts of a text, which begin
+        with white space."""
+        if self.kind == "bare":
+            units = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            # white space stands alone here: a line feed goes with the word behind it, so that each unit's ids are its own
+            led = pc.binary_join_element_wise("\n", texts, "") if opens else texts
+            units = pc.split_pattern(pc.replace_substring(led, "\n", " \n"), " ")
+        lists = units.offsets.to_numpy()
+        coded = units.flatten().dictionary_encode()
+        codes, blobs = coded.indices.to_numpy(), self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        flat = np.frombuffer(b"".join(blobs), "<u4")
+        each = sizes[codes]
+        if self.kind == "spaced":
+            each[lists[:-1]] = 0  # nothing stands before the first white space
+        ends = np.concatenate([[0], np.cumsum(each)])
+        begin = np.cumsum(sizes) - sizes
+        ids = flat[np.repeat(begin[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        at, counts = ends[lists[:-1]], ends[lists[1:]] - ends[lists[:-1]]
+        if self.kind == "spaced" and opens:  # the line feed put before each text
+            k = len(self.newline) // 4
+            ids, counts = np.delete(ids, (at[:, None] + np.arange(k)).reshape(-1)), counts - k
+        return ids, counts
+
+    def _long(self, text: str) -> np.ndarray:
+        """Ids of one long text, in parts that begin with white space."""
+        parts, at = [], 0
+        while at < len(text):
+            upto = at + GROUP_BYTES // 4
+            cuts = [x for x in (text.find(" ", upto), text.find("\n", upto)) if x >= 0]
+            upto = min(cuts) if cuts and upto < len(text) else len(text)
+            parts.append(self._group(pa.array([text[at:upto]]), at == 0)[0])
+            at = upto
+        return np.concatenate(parts)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: empty) end to end, and how many each text has; worked through in groups of bounded size."""
+        texts = pc.fill_null(texts, "")
+        sizes = pc.binary_length(texts).to_numpy()
+        alone = sizes > GROUP_BYTES
+        odd = np.full(len(texts), self.kind == "whole")
+        if self.kind == "spaced":
+            odd = pc.match_substring_regex(texts, _TWO_SPACES).to_numpy(zero_copy_only=False)
+        alone |= odd
+        ids, counts, at = [np.empty(0, np.uint32)], [np.empty(0, np.int64)], 0
+        while at < len(texts):
+            upto, size = at + 1, int(sizes[at])
+            if alone[at]:
+                text = texts[at].as_py()
+                own = np.frombuffer(self._whole(text), "<u4") if odd[at] else self._long(text)
+                n = np.array([len(own)])
+            else:
+                while upto < len(texts) and not alone[upto] and size + sizes[upto] <= GROUP_BYTES:
+                    size += int(sizes[upto])
+                    upto += 1
+                own, n = self._group(texts.slice(at, upto - at))
+            ids.append(own)
+            counts.append(n)
+            at = upto
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def encode_many(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text."""
+        ids, counts = self.encode_array(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        ends = np.cumsum(counts).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]

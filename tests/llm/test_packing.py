@@ -35,7 +35,19 @@ def test_memo_stays_bounded(monkeypatch):
     own = tokens.WordTokenizer(BYTES)
     texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
     assert own.encode_many(texts) == [array("I", own.library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
-    assert len(own.spaced) <= 50 or len(own.spaced) <= 30 * 40
+    for t in texts:  # one batch may go over the bound, the next starts a generation
+        own.encode(t)
+        assert len(own.old) <= 25 + 31 and len(own.young) <= 25
+
+
+def test_a_long_text_is_worked_through_in_parts(monkeypatch):
+    text = " ".join(f"w{i % 97}, é{i}\nb" for i in range(2000))
+    want = {path: tokens.WordTokenizer(path).encode_many([text, "x", None]) for path in (WORDS, BYTES)}
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 400)
+    for path in (WORDS, BYTES):
+        own = tokens.WordTokenizer(path)
+        assert own.encode_many([text, "x", None]) == want[path]
+        assert want[path][0] == array("I", own.library.encode(text, add_special_tokens=False).ids).tobytes() and want[path][2] == b""
 
 
 def check_layout(rows, capacity):
