@@ -32,11 +32,6 @@ class Ftrl:
         w = self.weights(at)
         self.step(at, importance * (sigmoid(w @ x) - y) * x, w)
 
-    def even(self, at: np.ndarray, x: np.ndarray, strength: float) -> None:
-        """One penalty strength / 2 * (w . x)**2, which draws the score change x towards 0."""
-        w = self.weights(at)
-        self.step(at, strength * (w @ x) * x, w)
-
 
 def platt(scores: Sequence[float], labels: Sequence[int], rounds: int = 100) -> tuple[float, float]:
     """Slope and offset of a logistic calibration, by Newton steps on smoothed labels; (1, 0) if a class is missing."""

@@ -81,7 +81,7 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicModel:
-    return toxicity.fit(toxicity.training_rows(docs, labels.where(~_held_out(F.col("doc_id")))))
+    return toxicity.train(docs, labels.where(~_held_out(F.col("doc_id"))))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
