@@ -8,14 +8,14 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.fpm import FPGrowth
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from shellac.llm.common import materialise
+from shellac.llm.common import discard, materialise
 
 #: Host, path and verdict; the longest rule that fits decides.
 DEFAULT_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-BLOCK, ALLOW = "label=block", "label=allow"
 _ASCII = {c: c + 32 for c in range(65, 91)}
 _HOST, _PATH, _SPLIT = re.compile(r"[^/?#]*"), re.compile(r"[^?#]*"), re.compile(r"[^0-9A-Za-z\x80-\U0010FFFF]+")
 
@@ -55,104 +55,129 @@ def tokenise(pages: DataFrame, *keep: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class MinedRule:
-    tokens: frozenset[str]
+    """A URL fits if it has a token of every group. Tokens of one group stand on the same labelled pages, so any of them does."""
+
+    groups: tuple[frozenset[str], ...]
     confidence: float
     support: float
 
+    def fits(self, tokens: set[str]) -> bool:
+        return not any(g.isdisjoint(tokens) for g in self.groups)
+
+
+def _passes(n: Column, b: Column, base: float, tests: int, min_confidence: float, z: float, false_rules: float) -> Column:
+    """Whether ``b`` blocked ones of ``n`` pages make a rule: by the lower end of Wilson's interval of the confidence, and by
+    Chernoff's bound on the chance of as many at the base rate, for all ``tests`` together."""
+    share = b / n
+    lower = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    clean = F.when(b < n, (n - b) * F.log((1 - share) / (1 - base))).otherwise(0.0) if base < 1 else F.lit(0.0)
+    return (lower >= min_confidence) & (share > base) & (b * F.log(share / base) + clean >= math.log(max(1, tests) / false_rules))
+
 
-def _larger_sets(shapes: DataFrame, opened: Mapping[tuple[int, ...], object], ids: Mapping[str, int], least: float) -> DataFrame:
-    """Count the token sets that are one larger than the opened ones, all of whose parts are opened: set, n, b."""
-    tree: dict = {}
-    for own in opened:
-        node = tree
-        for t in own:
-            node = node.setdefault(t, {})
-    shared = shapes.sparkSession.sparkContext.broadcast((tree, frozenset(opened), dict(ids)))
+def _items(shapes: DataFrame, least: int) -> list[Row]:
+    """Groups of tokens that stand on the same pages, ``least`` blocked ones or more: tokens, n pages, b blocked ones."""
+    each = shapes.select(F.explode("tokens").alias("token"), "n", "b", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("g"))
+    tokens = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.count("*").alias("c"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")).where(F.col("b") >= least)
+    return tokens.groupBy("n", "b", "c", "h", "g").agg(F.array_sort(F.collect_list("token")).alias("tokens")).select("tokens", "n", "b").orderBy("tokens").collect()
+
+
+def _baskets(rows: DataFrame, ids: Mapping[str, int], label: int) -> DataFrame:
+    """The items of each row's tokens, and ``label`` where it is blocked."""
+    shared = rows.sparkSession.sparkContext.broadcast(dict(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, known, id_of = shared.value
-        depth = len(next(iter(known)))
-        counts: dict[tuple[int, ...], list[int]] = {}
+        known = shared.value
+        for batch in batches:
+            found = [sorted({known[t] for t in tokens if t in known}) + [label] * b for tokens, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["items"])
+
+    return rows.select("tokens", "b").mapInArrow(run, "items array<int>")
 
-        def flush() -> pa.RecordBatch:
-            n, b = (pa.array([c[i] for c in counts.values()], pa.int64()) for i in (0, 1))
-            out = pa.RecordBatch.from_arrays([pa.array(map(list, counts), pa.list_(pa.int32())), n, b], ["set", "n", "b"])
-            counts.clear()
-            return out
 
+def _without_larger(rules: DataFrame, minimal: Sequence[frozenset[int]]) -> DataFrame:
+    """The rules that hold none of ``minimal``."""
+    index: dict[int, list[frozenset[int]]] = {}
+    for m in minimal:
+        index.setdefault(min(m), []).append(m)
+    shared = rules.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
-            for tokens, n, b in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                own = sorted(id_of[t] for t in tokens if t in id_of)
-                found = [((), root, 0)]
-                for _ in range(depth):
-                    found = [((*s, t), node[t], i + 1) for s, node, at in found for i, t in enumerate(own[at:], at) if t in node]
-                for s, _, at in found:
-                    for t in own[at:]:
-                        if all((*s[:i], *s[i + 1 :], t) in known for i in range(depth)):
-                            c = counts.setdefault((*s, t), [0, 0])
-                            c[0] += n
-                            c[1] += b
-                if len(counts) > 100_000:
-                    yield flush()
-        yield flush()
-
-    parts = shapes.mapInArrow(run, "set array<int>, n long, b long")
-    return parts.groupBy("set").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= least)
-
-
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6, min_lift: float = 1.2) -> list[MinedRule]:
-    """Rules ``tokens -> block`` of a table (tokens, blocked), over all its rows: every one that passes the support, confidence and
-    lift, but for those with a part of their tokens that is as confident.
-
-    Sets of tokens grow by one token a round. One that stands on the same pages as a part of it is never grown, nor is
-    one whose pages are all blocked, as nothing larger can be more confident; so a shape of k constant tokens takes k sets
-    and not 2**k, and no rule needs to be left out. Null labels and null tokens are left out; without labelled rows there are no
-    rules.
+            sets = [frozenset(x) for x in batch.column(0).to_pylist()]
+            yield batch.filter(pa.array([not any(m <= s for i in s for m in known.get(i, ())) for s in sets], pa.bool_()))
+
+    return rules.mapInArrow(run, rules.schema)
+
+
+def mine(labelled: DataFrame, min_pages: int = 5, min_support: float = 1e-4, min_confidence: float = 0.6, z: float = 1.645, false_rules: float = 0.1) -> list[MinedRule]:
+    """Rules ``tokens -> block`` of a table (tokens, blocked), by Spark's FP-growth over all its rows: every minimal one.
+
+    A rule's tokens stand on at least ``min_pages`` blocked pages and on ``min_support`` of all; the lower end of its confidence's
+    interval (``z`` standard errors) reaches ``min_confidence``; and not even ``false_rules`` rules of this strength are to be
+    expected by chance among all combinations that were looked at. Rules whose tokens hold those of another rule say
+    nothing new and go, on the executors and by size, before anything larger is collected.
+
+    FP-growth's work doubles with each token of a frequent shape, so what can't matter goes first, without a change of the
+    result: tokens on the same pages become one item; an item that makes a rule alone is left out, as is one on blocked
+    pages only, since with more tokens it would have no more confidence and fewer pages. Null labels and null tokens are left
+    out; without blocked rows there are no rules.
     """
-    kept = labelled.where(F.col("blocked").isNotNull() & F.col("tokens").isNotNull()).select(F.array_sort(F.array_distinct(F.array_compact("tokens"))).alias("tokens"), F.col("blocked").cast("long").alias("b"))
-    shapes = materialise(kept.groupBy("tokens").agg(F.count("*").alias("n"), F.sum("b").alias("b")), "shapes")
+    rows = labelled.where(F.col("blocked").isNotNull() & F.col("tokens").isNotNull())
+    rows = materialise(rows.select(F.array_sort(F.array_distinct(F.array_compact("tokens"))).alias("tokens"), F.col("blocked").cast("int").alias("b")), "labelled")
+    spark = rows.sparkSession
+    shapes = rows.groupBy("tokens").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     pages, blocked = shapes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     if not blocked:
+        discard(rows)
         return []
-    least = math.ceil(min_support * pages)
-    singles = shapes.select(F.explode("tokens").alias("token"), "n", "b").groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).where(F.col("b") >= least).collect()
-    names = sorted(r["token"] for r in singles)
-    ids = {t: i for i, t in enumerate(names)}
-    counted = [((ids[r["token"]],), r["n"], r["b"]) for r in singles]
-    rules: list[MinedRule] = []
-    opened: dict[tuple[int, ...], tuple[int, float]] = {(): (pages + 1, 0.0)}  # pages, and the best confidence of a set or a part of it
-    while counted:
-        larger: dict[tuple[int, ...], tuple[int, float]] = {}
-        for own, n, b in counted:
-            parts = [opened[own[:i] + own[i + 1 :]] for i in range(len(own))]
-            best, confidence = max(p[1] for p in parts), b / n
-            if n == min(p[0] for p in parts):
-                continue
-            if confidence > best and confidence >= min_confidence and confidence / (blocked / pages) >= min_lift:
-                rules.append(MinedRule(frozenset(names[t] for t in own), confidence, b / pages))
-            if b < n:
-                larger[own] = n, max(best, confidence)
-        opened = larger
-        grown = {names[t]: t for own in opened for t in own}
-        counted = [(tuple(r["set"]), r["n"], r["b"]) for r in _larger_sets(shapes, opened, grown, least).collect()] if len(grown) > 1 else []
-    return sorted(rules, key=lambda m: (-m.confidence, -m.support, sorted(m.tokens)))
+    least, base = max(min_pages, math.ceil(min_support * pages)), blocked / pages
+    items = _items(shapes, least)
+    mixed = [i for i, r in enumerate(items) if r["b"] < r["n"]]
+    label = len(items)
+    scratch = [rows]
+    found = None
+    if len(mixed) > 1:
+        baskets = materialise(_baskets(rows, {t: i for i in mixed for t in items[i]["tokens"]}, label), "baskets")
+        scratch.append(baskets)
+        # the half keeps a rounding error of the share from losing a set that has just enough pages
+        model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / pages, minConfidence=min_confidence).fit(baskets)
+        own = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == label))
+        counted = own.select(F.array_sort("antecedent").alias("set"), F.round(F.col("support") * pages).alias("b"), F.round(F.col("support") * pages / F.col("confidence")).alias("n"))
+        found = materialise(counted, "rules")
+        scratch.append(found)
+    tests = len(items) + (found.count() if found is not None else 0)
+    alone = spark.createDataFrame([([i], float(r["b"]), float(r["n"])) for i, r in enumerate(items)], "set array<int>, b double, n double")
+    passed = (alone if found is None else alone.unionByName(found.where(F.size("set") > 1))).where(_passes(F.col("n"), F.col("b"), base, tests, min_confidence, z, false_rules))
+    passed = materialise(passed, "passed")
+    scratch.append(passed)
+    chosen: list[Row] = []
+    size = 1
+    while passed.where(F.size("set") >= size).limit(1).count():
+        chosen += _without_larger(passed.where(F.size("set") == size), [frozenset(r["set"]) for r in chosen]).collect()
+        size += 1
+    for t in scratch:
+        discard(t)
+    rules = [MinedRule(tuple(frozenset(items[i]["tokens"]) for i in sorted(r["set"])), r["b"] / r["n"], r["b"] / pages) for r in chosen]
+    return sorted(rules, key=lambda m: (-m.confidence, -m.support, [sorted(g) for g in m.groups]))
 
 
 class Matcher:
-    """Inverted indexes over both kinds of rules: hand-written ones by host, mined ones by their rarest token."""
+    """Inverted indexes over both kinds of rules: hand-written ones by host, mined ones by the tokens of their rarest group."""
 
     def __init__(self, rules: Mapping[str, str], mined: Sequence[MinedRule]):
         self.by_host: dict[str, list[tuple[str, str, str]]] = {}
         for rule, verdict in rules.items():
             host, slash, path = rule.partition("/")
             self.by_host.setdefault(host, []).append((slash + path, rule, verdict))
-        uses: dict[str, int] = {}
+        uses: dict[frozenset[str], int] = {}
         for m in mined:
-            for t in m.tokens:
-                uses[t] = uses.get(t, 0) + 1
+            for g in m.groups:
+                uses[g] = uses.get(g, 0) + 1
         self.by_token: dict[str, list[MinedRule]] = {}
         for m in mined:
-            self.by_token.setdefault(min(m.tokens, key=lambda t: (uses[t], t)), []).append(m)
+            for t in min(m.groups, key=lambda g: (uses[g], sorted(g))):
+                self.by_token.setdefault(t, []).append(m)
 
     def rule(self, host: str, path: str) -> tuple[str | None, str | None]:
         """The longest hand-written rule that fits, and its verdict; of equally long ones the last in code-point order."""
@@ -165,14 +190,14 @@ class Matcher:
         return max(found)[1:] if found else (None, None)
 
     def mined(self, tokens: Sequence[str]) -> MinedRule | None:
-        """The strongest mined rule whose tokens the URL all has."""
+        """The strongest mined rule that the URL fits."""
         own = set(tokens)
-        fits = [m for t in tokens for m in self.by_token.get(t, ()) if m.tokens <= own]
-        return max(fits, key=lambda m: (m.confidence, m.support, sorted(m.tokens)), default=None)
+        fits = [m for t in tokens for m in self.by_token.get(t, ()) if m.fits(own)]
+        return max(fits, key=lambda m: (m.confidence, m.support, [sorted(g) for g in m.groups]), default=None)
 
 
 def judge(pages: DataFrame, mined: Sequence[MinedRule], rules: Mapping[str, str] = DEFAULT_RULES, url: str = "url") -> DataFrame:
-    """Add host, path, rule, verdict and mined_rule (its tokens, null without) to every row, in Arrow batches, no shuffle.
+    """Add host, path, rule, verdict and mined_rule (the tokens that fit it, null without) to every row, in Arrow batches, no shuffle.
 
     A hand-written rule fits its host and all subdomains if the path starts with the rule's; the longest decides. Where
     none fits, a mined rule blocks and anything else is allowed. Null urls have an empty host and path and are
@@ -190,8 +215,9 @@ def judge(pages: DataFrame, mined: Sequence[MinedRule], rules: Mapping[str, str]
             for u in b.column(at).to_pylist():
                 host, path = split_url(u)
                 rule, verdict = m.rule(host, path)
-                found = m.mined(url_tokens(u)) if rule is None else None
-                out.append((host, path, rule, verdict or ("block" if found else "allow"), " ".join(sorted(found.tokens)) if found else None))
+                tokens = url_tokens(u) if rule is None else []
+                found = m.mined(tokens)
+                out.append((host, path, rule, verdict or ("block" if found else "allow"), " ".join(t for t in tokens if any(t in g for g in found.groups)) if found else None))
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([x[i] for x in out], pa.string()) for i in range(5)]], [*names, *added])
 
     chosen = pages.select(*[F.col(f"`{c}`") for c in names])
