@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from shellac.llm.common import ascii_lower
 from shellac.llm.license_rules import BASE, Rule, default_rules
 
-#: Words from a keyword on that a rule is first matched against: more than the longest rule without open repeats can match (27).
-REACH = 32
+#: Words from a keyword on that a rule is first matched against: more than the longest rule without open repeats can match (35).
+REACH = 40
 #: Rules with open repeats (``*`` over words) whose match takes more words than this are matched again, against all the rest. A
 #: shorter match has not come near the end of its window, so more words would not change it.
 OPEN_FROM = REACH // 2
@@ -26,7 +26,6 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-
 def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Sequence[tuple[str, str]] = BASE, text: str = "text") -> DataFrame:
     """Scan every whole text; adds n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
@@ -49,10 +48,10 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Sequence[tu
     p = F.col("_p")
     n_words = F.when(p == "  ", F.lit(0)).otherwise(_spaces(p) - 1)
     keywords = sorted({k for r in rules for k in r.keywords})
-    gate = F.lit(False)
-    for k in sorted({k for k in keywords if not any(o != k and k.startswith(o) for o in keywords)}):
-        gate = gate | F.contains(p, F.lit(f" {k}"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in kept], p, n_words.cast("long").alias("n_words"), gate.alias("_gate"))
+    known = F.array(*map(F.lit, keywords))
+    split = F.split(F.trim(p), " ")
+    # the keywords that a text has, by hash: the prefilter, and a short list to hold its words against
+    rows = rows.select(*[F.col(f"`{c}`") for c in kept], p, n_words.cast("long").alias("n_words"), F.array_intersect(split, known).alias("_here"))
 
     found = []
     for phrase, label in base:
@@ -67,12 +66,10 @@ def scan(docs: DataFrame, rules: Sequence[Rule] | None = None, base: Sequence[tu
         return F.struct(F.lit(r.rank).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.strength).alias("strength"), F.lit(")*" in r.pattern).alias("open"))
 
     by_word = F.create_map(*[x for k in keywords for x in (F.lit(k), F.array(*[entry(r) for r in rules if k in r.keywords]))])
-    known = F.array(*map(F.lit, keywords))
     none = F.array().cast("array<struct<start:int,end:int,label:string,rank:int,strength:double>>")
-    split = F.split(F.trim(p), " ")
-    rows = rows.withColumn("_words", F.when(F.col("_gate"), split))
+    rows = rows.withColumn("_words", F.when(F.size("_here") > 0, split))
     w = F.col("_words")
-    anchors = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("word"))), lambda a: F.array_contains(known, a["word"]))
+    anchors = F.filter(F.transform(w, lambda x, i: F.struct(i.alias("i"), x.alias("word"))), lambda a: F.array_contains("_here", a["word"]))
 
     def at_anchor(a: Column) -> Column:
         window = F.array_join(F.slice(w, a["i"] + 1, F.lit(REACH)), " ")

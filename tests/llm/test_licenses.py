@@ -90,11 +90,51 @@ def test_another_rule_list(spark):
 
 
 def test_detections_end_where_the_whole_rest_ends_them(spark, monkeypatch):
-    """Against a brute force without a reach; the longest rule takes 27 words, and an identifier any number of them."""
+    """Against a brute force without a reach; the longest rules take up to 35 words, and an identifier any number of them."""
     long = "licensed under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 or any later version"
-    longest = "licensed under the terms of the creative commons attribution non commercial license as published by the free software foundation either version 2 1 or any later version"
+    longest = "licensed under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 or at your option any later version"
     texts = [long, f"{longest} x", *[f"spdx license identifier gpl {'2 ' * n}or later gnu gpl" for n in (1, 9, 11, 12, 13, 14, 26, 27, 28, 29, 500)]]
     got = scanned(spark, texts)
     monkeypatch.setattr(licenses, "REACH", 1_000_000)
     assert got == [brute(t) for t in texts]
-    assert max(d[1] for d in got[0]["detections"]) == 26 and max(d[1] for d in got[1]["detections"]) == 28 - 1
+    assert max(d[1] for d in got[0]["detections"]) == 26 and max(d[1] for d in got[1]["detections"]) == 29
+
+
+def longest_match(pattern):
+    """Most words that a pattern without open repeats can match, by Python's own parse of it."""
+    import re._parser as parser
+
+    def most(tree):
+        n = 0
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                n += arg == 32
+            elif name == "SUBPATTERN":
+                n += most(arg[3])
+            elif name == "BRANCH":
+                n += max(most(x) for x in arg[1])
+            elif name == "MAX_REPEAT":
+                n += arg[1] * most(arg[2]) if most(arg[2]) else 0
+        return n
+
+    return most(parser.parse(pattern)) + 1
+
+
+def test_no_rule_reaches_beyond_its_window():
+    """Whole matches, as the window is longer than any rule without open repeats; the others are matched against all the rest."""
+    assert max(longest_match(r.pattern) for r in RULES if ")*" not in r.pattern) < licenses.REACH
+
+
+def test_signatures_of_licence_texts(spark):
+    texts = {
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED": "warranty",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
+        "Redistributions in binary form must reproduce the above copyright notice": "bsd",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl",
+        "SPDX-License-Identifier: GPL-2.0-only WITH classpath exception": "spdx",
+        "released into the public domain": "unlicense",
+        "GPLv3": "gpl",
+    }
+    assert [r["labels"] for r in scanned(spark, list(texts))] == list(texts.values())
