@@ -6,10 +6,8 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shellac.schema import DISPLAY_BYTES, ELLIPSIS, META_CHARS, NO_ARTIST, NO_ORIGIN, NO_TAGS, SEPARATOR
 
@@ -51,34 +49,31 @@ def trim_bytes(c: Column, most: int = DISPLAY_BYTES) -> Column:
     return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(F.substring(c, F.lit(1), F.size(starts) - 1), F.lit(ELLIPSIS)))
 
 
-def fit_fields(fields: Sequence[str], most: int = DISPLAY_BYTES) -> str:
-    """Join fields into about ``most`` bytes, shortening the longest again and again.
+def byte_prefix(c: Column, most: Column) -> Column:
+    """As many whole characters from the start as fit in ``most`` bytes."""
+    fitting = F.filter(F.sequence(F.lit(1), F.least(F.length(c), most)), lambda i: F.octet_length(F.substring(c, F.lit(1), i)) <= most)
+    return F.when((most <= 0) | (F.length(c) == 0), F.lit("")).otherwise(F.substring(c, F.lit(1), F.size(fitting)))
 
-    Lengths count in UTF-8 bytes and each separator takes three. A cut reserves room for its ellipsis where it can,
-    and never splits a character. Of equally long fields the last is cut.
+
+def fit_fields(fields: Column, most: int = DISPLAY_BYTES) -> Column:
+    """An array of texts (null: empty) joined into about ``most`` bytes of UTF-8, for arrays of up to 16.
+
+    The fields line up by length, of equally long ones the last comes first, and each gives up what the ones before it
+    could not: nothing, a part or all of it. One that gives anything up ends in an ellipsis, for which it makes room
+    where more than that is left, and never splits a character.
     """
-    parts = [f.encode() for f in fields]
-    sizes = [len(p) for p in parts]
-    over = max(0, sum(sizes) - (most - len(SEPARATOR.encode()) * len(parts) + 1))
-    mark = ELLIPSIS.encode()
-    while over > 0:
-        longest = max(range(len(parts)), key=lambda i: (sizes[i], i))
-        chop = min(over, sizes[longest])
-        if chop == 0:
-            break
-        keep = sizes[longest] - chop
-        if keep > len(mark):
-            keep -= len(mark)
-        head = parts[longest][:keep].decode(errors="ignore").encode()
-        parts[longest], sizes[longest] = head + mark, len(head) + len(mark)
-        over -= chop
-    return SEPARATOR.join(p.decode() for p in parts)
-
-
-@F.pandas_udf(T.StringType())
-def display_line(fields: pd.Series) -> pd.Series:
-    """``fit_fields`` of an array column; for the few rows of a result list."""
-    return fields.map(lambda f: None if f is None else fit_fields(["" if x is None else x for x in f]))
+    mark = len(ELLIPSIS.encode())
+    parts = F.transform(fields, lambda f, i: F.struct(F.coalesce(f, F.lit("")).alias("text"), F.octet_length(F.coalesce(f, F.lit(""))).alias("size"), i.alias("at")))
+    total = lambda kept: F.aggregate(kept, F.lit(0), lambda acc, p: acc + p["size"])
+    over = total(parts) - (F.lit(most + 1) - F.lit(len(SEPARATOR.encode())) * F.size(fields))
+
+    def shown(p: Column) -> Column:
+        first = F.filter(parts, lambda o: (o["size"] > p["size"]) | (o["size"] == p["size"]) & (o["at"] > p["at"]))
+        left = over - total(first)
+        rest = F.greatest(p["size"] - left, F.lit(0))
+        return F.when(left <= 0, p["text"]).otherwise(F.concat(byte_prefix(p["text"], F.when(rest > mark, rest - mark).otherwise(rest)), F.lit(ELLIPSIS)))
+
+    return F.array_join(F.transform(parts, shown), SEPARATOR)
 
 
 def meta_line(*columns: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shellac.functions.text import normalise_input, video_id
-from shellac.operators.dml import add_names, add_tags, insert_or_ignore, latest, with_name_ids
+from shellac.operators.dml import add_names, add_tags, insert_downloads, insert_or_ignore, latest, with_name_ids
 from shellac.schema import NO_ARTIST, NO_ORIGIN, Dimension
 from shellac.sources.catalogue import Catalogue
 
@@ -33,6 +35,18 @@ def ingest(c: Catalogue, records: DataFrame, split_ws: bool = False, order: Colu
     return add_tags(c, tags)
 
 
+#: From a table of ids to download records (id, upload_date, title) of those that could be had.
+Fetch = Callable[[DataFrame], DataFrame]
+
+
+def resolve_or_fetch(c: Catalogue, inputs: DataFrame, fetch: Fetch, column: str = "input") -> tuple[Catalogue, DataFrame]:
+    """Resolve inputs, fetch the missing ones that can be downloaded, each id once, and insert what comes: the catalogue after it,
+    and the known rows of all inputs."""
+    ids = resolve(c, inputs, column)[1].where("valid").select("id").distinct()
+    after = insert_downloads(c, fetch(ids))
+    return after, resolve(after, inputs, column)[0]
+
+
 def resolve(c: Catalogue, inputs: DataFrame, column: str = "input") -> tuple[DataFrame, DataFrame]:
     """Split inputs (URLs or ids) into known ones, with their track, and missing ones.
 

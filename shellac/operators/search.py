@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shellac.functions.text import any_matches, display_line, matches, trim_bytes
+from shellac.functions.text import any_matches, fit_fields, matches, trim_bytes
 from shellac.operators.browse import is_incomplete, tag_list, with_artist, with_origin, with_tags
 from shellac.operators.numbering import number_rows
 from shellac.schema import NO_TAGS, SEARCH_LIMIT, Dimension
@@ -52,7 +52,7 @@ def complete_names(c: Catalogue, kind: Dimension, needle: str, limit: int = SEAR
 
 def _listed(found: DataFrame) -> DataFrame:
     fields = F.array("track_title", F.coalesce("artist", F.lit("")), F.coalesce("origin", F.lit("")), F.coalesce("tags", F.lit(NO_TAGS)))
-    shown = found.select("id", display_line(fields).alias("display"))
+    shown = found.select("id", fit_fields(fields).alias("display"))
     return number_rows(shown, ["display", "id"]).select("pos", "display", "id")
 
 

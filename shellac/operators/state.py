@@ -27,6 +27,27 @@ def require_now_playing(events: DataFrame, guild) -> DataFrame:
     return found
 
 
+def append(events: DataFrame, guild, kind: str, ts) -> DataFrame:
+    """The events with one more, the last of all by sequence number."""
+    last = events.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("seq"))
+    types = dict(events.dtypes)
+    new = last.select(F.lit(guild).cast(types["guild"]).alias("guild"), F.lit(ts).cast(types["ts"]).alias("ts"), (F.col("seq") + 1).cast(types["seq"]).alias("seq"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("track"))
+    return events.unionByName(new)
+
+
+def leave(events: DataFrame, guild, ts) -> DataFrame:
+    """The events after a guild has left; one that plays nothing may leave too."""
+    return append(events, guild, LEAVE, ts)
+
+
+def flip(events: DataFrame, guild, kind: str, ts) -> tuple[DataFrame, DataFrame]:
+    """The events after one toggle of a guild is flipped, and the guild's new state (a row of ``toggles``); a ``LookupError`` if it
+    plays nothing."""
+    require_now_playing(events, guild)
+    after = append(events, guild, kind, ts)
+    return after, toggles(after.where(F.col("guild") == F.lit(guild)))
+
+
 def toggles(events: DataFrame) -> DataFrame:
     """State of the toggles of each guild that plays: guild, paused, looping.
 

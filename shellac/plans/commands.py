@@ -18,13 +18,19 @@ def _one(c: Catalogue, schema: str, *row) -> DataFrame:
     return c.tracks.sparkSession.createDataFrame([row], schema)
 
 
-def play(c: Catalogue, text: str) -> DataFrame:
-    """The track that an input names; ``LookupError`` if it isn't known and ``ValueError`` if it can't be downloaded either."""
-    known, missing = ingest.resolve(c, _one(c, "input string", text))
-    if known.isEmpty():
-        row = missing.first()
-        raise LookupError(f"{row['id']} must be downloaded first") if row["valid"] else ValueError("not a video link")
-    return known
+def play(c: Catalogue, text: str, fetch: ingest.Fetch | None = None) -> tuple[Catalogue, DataFrame]:
+    """The catalogue and the track that an input names. One that isn't known is fetched and inserted; ``LookupError`` without a
+    ``fetch``, ``ValueError`` if the input can't be downloaded."""
+    asked = _one(c, "input string", text)
+    known, missing = ingest.resolve(c, asked)
+    if not known.isEmpty():
+        return c, known
+    row = missing.first()
+    if not row["valid"]:
+        raise ValueError("not a video link")
+    if fetch is None:
+        raise LookupError(f"{row['id']} must be downloaded first")
+    return ingest.resolve_or_fetch(c, asked, fetch)
 
 
 def download(c: Catalogue, record: DataFrame, artist: str | None = None, origin: str | None = None, title: str | None = None) -> Catalogue:
@@ -50,8 +56,10 @@ COMMANDS: dict[str, Callable] = {
     "library": render.library_pages,
     "play": play,
     "now_playing": state.now_playing,
-    "pause": state.toggles,
-    "loop_track": state.toggles,
+    "leave": state.leave,
+    "pause": lambda events, guild, ts: state.flip(events, guild, state.PAUSE, ts),
+    "loop_track": lambda events, guild, ts: state.flip(events, guild, state.LOOP, ts),
+    "player": state.toggles,
     "download": download,
     "reset_tags": dml.reset_tags,
     "add_tag": add_tag,

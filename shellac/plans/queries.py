@@ -11,8 +11,10 @@ from shellac.functions import text
 from shellac.operators import browse, dml, ingest, render, search, state, sync
 from shellac.schema import Dimension
 from shellac.sources.adapters import adapted, oracle_views
-from shellac.sources.catalogue import Catalogue
-from shellac.sources.json_files import parse_download, parse_ingest
+from shellac.sources.catalogue import Catalogue, empty_catalogue
+from shellac.sources.files import present_ids
+from shellac.sources.json_files import parse_download, parse_ingest, read_ingest
+from shellac.storage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +52,7 @@ for _adapter, _end in (("documents", ""), ("parts", "_parts")):
 
 _add("lookup_track", lambda c: browse.lookup(c, "7"), f"{_NAMED} SELECT id, track_title AS title, artist, origin FROM named WHERE id = '7'")
 _add("lookup_missing", lambda c: browse.lookup(c, "no such id").agg(F.count("*").alias("n")), f"{_NAMED} SELECT count(*) AS n FROM named WHERE id = 'no such id'")
+_add("require_track", lambda c: browse.require(c, "11"), f"{_NAMED} SELECT id, track_title AS title, artist, origin FROM named WHERE id = '11'")
 _add("track_ids", lambda c: c.tracks.select("id"), " SELECT id FROM tracks")
 
 
@@ -144,8 +147,22 @@ _add(
     lambda c: search.complete_names(c, Dimension.ARTIST, "src"),
     f", found AS (SELECT DISTINCT artist AS name FROM artists WHERE {_like('artist', 'src')} ORDER BY name LIMIT 25) SELECT cast(row_number() OVER (ORDER BY display, name) AS integer) AS pos, display FROM (SELECT name, {_trim('name')} AS display FROM found)",
 )
-_add("autocomplete_tracks", lambda c: search.complete_tracks(c, "the"))
-_add("autocomplete_incomplete", lambda c: search.complete_incomplete(c, "an"))
+for _kind, _needle in ((Dimension.ORIGIN, "e"), (Dimension.TAG, "O")):
+    _add(
+        f"autocomplete_{_kind.column}",
+        lambda c, k=_kind, n=_needle: search.complete_names(c, k, n),
+        f", found AS ({_dimension_sql(_kind.table, _kind.column, _needle)}) SELECT cast(row_number() OVER (ORDER BY display, name) AS integer) AS pos, display FROM (SELECT name, {_trim('name')} AS display FROM found)",
+    )
+#: What each field has to give up, from sums over the longer fields of its row.
+_FITTED = """, fields AS (SELECT id, unnest([track_title, coalesce(artist, ''), coalesce(origin, ''), coalesce(tags, 'No tags')]) AS f, unnest([1, 2, 3, 4]) AS place FROM found)
+, sized AS (SELECT *, strlen(f) AS size, sum(strlen(f)) OVER (PARTITION BY id) - 89 AS excess FROM fields)
+, asked AS (SELECT *, excess - coalesce(sum(size) OVER (PARTITION BY id ORDER BY size DESC, place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS give FROM sized)
+, kept AS (SELECT *, greatest(size - give, 0) AS rest FROM asked), cut AS (SELECT *, CASE WHEN rest > 3 THEN rest - 3 ELSE rest END AS room FROM kept)
+, fitted AS (SELECT id, place, CASE WHEN give <= 0 THEN f ELSE left(f, cast(len(list_filter(range(1, least(length(f), cast(room AS bigint)) + 1), lambda i: strlen(left(f, cast(i AS integer))) <= room)) AS integer)) || '…' END AS shown FROM cut)
+, lined AS (SELECT id, string_agg(shown, ' | ' ORDER BY place) AS display FROM fitted GROUP BY id)
+SELECT cast(row_number() OVER (ORDER BY display, id) AS integer) AS pos, display, id FROM lined"""
+_add("autocomplete_tracks", lambda c: search.complete_tracks(c, "the"), _tracks_sql("the").replace(f"{_NAMED} SELECT", f"{_NAMED}, found AS (SELECT") + ")" + _FITTED)
+_add("autocomplete_incomplete", lambda c: search.complete_incomplete(c, "an"), _incomplete_sql("an").replace(f"{_NAMED} SELECT", f"{_NAMED}, found AS (SELECT") + ")" + _FITTED)
 
 
 # ---- URLs ----
@@ -189,15 +206,21 @@ def _third(c: Catalogue, *columns) -> DataFrame:
 _add("dict_encode", lambda c: dml.encode_names(c.artists, "artist", c.tracks.select("track_title")).select("artist"), " SELECT artist FROM artists UNION SELECT track_title FROM tracks")
 _add(
     "insert_track",
-    lambda c: _state(dml.insert_downloads(c, _third(c, F.concat(F.lit("new"), F.col("id")).alias("id"), F.lit(None).cast("string").alias("upload_date"), F.col("track_title").alias("title"), F.lit("someone").alias("artist")))),
-    f"{_NAMED} SELECT id, track_title, artist, origin FROM named UNION ALL SELECT 'new' || id, track_title, 'someone', 'No origin provided' FROM tracks WHERE cast(id AS bigint) % 3 = 0",
+    lambda c: _state(dml.insert_downloads(c, c.tracks.select(F.concat(F.lit("new"), F.col("id")).alias("id"), F.lit(None).cast("string").alias("upload_date"), F.col("track_title").alias("title"), F.lit("someone").alias("artist")))),
+    f"{_NAMED} SELECT id, track_title, artist, origin FROM named UNION ALL SELECT 'new' || id, track_title, 'someone', 'No origin provided' FROM tracks",
 )
 _add(
     "insert_or_ignore_tags",
-    lambda c: _bridge(dml.add_tags(c, _third(c, F.col("id").alias("track_id"), F.explode(F.array(F.lit("good"), F.lit("fresh"))).alias("tag")))),
-    " SELECT track_id, tag FROM track_tags JOIN tags ON tags.id = tag_id UNION SELECT id, unnest(['good', 'fresh']) FROM tracks WHERE cast(id AS bigint) % 3 = 0",
+    lambda c: _bridge(dml.add_tags(c, c.tracks.select(F.col("id").alias("track_id"), F.explode(F.array(F.lit("good"), F.lit("fresh"))).alias("tag")))),
+    " SELECT track_id, tag FROM track_tags JOIN tags ON tags.id = tag_id UNION SELECT id, unnest(['good', 'fresh']) FROM tracks",
 )
 _add("delete_tags", lambda c: _bridge(dml.delete_tags(c, _third(c, "id"))), " SELECT track_id, tag FROM track_tags JOIN tags ON tags.id = tag_id WHERE cast(track_id AS bigint) % 3 <> 0")
+_add("reset_tags", lambda c: _bridge(dml.reset_tags(c, "7")), " SELECT track_id, tag FROM track_tags JOIN tags ON tags.id = tag_id WHERE track_id <> '7'")
+_add(
+    "changed_fields",
+    lambda c: c.tracks.select("id", text.changed_fields(**{n: F.when(F.col("id").cast("long") % k == 0, F.col("track_title")) for n, k in (("title", 2), ("artist", 3), ("origin", 5))}).alias("said")),
+    " SELECT id, concat_ws(', ', CASE WHEN cast(id AS bigint) % 2 = 0 THEN 'title' END, CASE WHEN cast(id AS bigint) % 3 = 0 THEN 'artist' END, CASE WHEN cast(id AS bigint) % 5 = 0 THEN 'origin' END) AS said FROM tracks",
+)
 _add("update_title", lambda c: _state(dml.update_title(c, "7", "Another title")), f"{_NAMED} SELECT id, CASE WHEN id = '7' THEN 'Another title' ELSE track_title END AS track_title, artist, origin FROM named")
 _add("update_artist", lambda c: _state(dml.update_name(c, Dimension.ARTIST, "7", "someone")), f"{_NAMED} SELECT id, track_title, CASE WHEN id = '7' THEN 'someone' ELSE artist END AS artist, origin FROM named")
 _add("update_origin", lambda c: _state(dml.update_name(c, Dimension.ORIGIN, "7", "en")), f"{_NAMED} SELECT id, track_title, artist, CASE WHEN id = '7' THEN 'en' ELSE origin END AS origin FROM named")
@@ -217,26 +240,49 @@ _add(
 
 
 def _records(c: Catalogue) -> DataFrame:
-    """JSON texts of every third track under its own id, and under a new one, with tags and a missing artist."""
-    both = _third(c, F.explode(F.array("id", F.concat(F.lit("new"), F.col("id")))).alias("id"), "track_title")
+    """Records of every track under its own id, and under a new one, with tags and a missing artist, from JSON texts."""
+    return parse_ingest(_record_texts(c))
+
+
+def _record_texts(c: Catalogue) -> DataFrame:
+    both = c.tracks.select(F.explode(F.array("id", F.concat(F.lit("new"), F.col("id")))).alias("id"), "track_title")
     fields = F.struct("id", F.lit("2024").alias("upload_date"), F.col("track_title").alias("yt_title"), F.concat(F.lit("again "), F.col("track_title")).alias("track_title"), F.lit("fresh").alias("track_origin"), F.array(F.lit("boss fight"), F.lit("good")).alias("tags"))
-    return parse_ingest(both.select(F.to_json(fields).alias("value")))
+    return both.select(F.to_json(fields).alias("value"))
 
 
-_THIRD = "cast(id AS bigint) % 3 = 0"
 _add(
     "ingest_json",
     lambda c: _state(ingest.ingest(c, _records(c))),
-    f"{_NAMED} SELECT id, track_title, artist, origin FROM named UNION ALL SELECT 'new' || id, 'again ' || track_title, 'No artist provided', 'fresh' FROM tracks WHERE {_THIRD}",
+    f"{_NAMED} SELECT id, track_title, artist, origin FROM named UNION ALL SELECT 'new' || id, 'again ' || track_title, 'No artist provided', 'fresh' FROM tracks",
 )
 for _name, _split, _tags in (("ingest_json_tags", False, "['boss fight', 'good']"), ("ingest_json_split_tags", True, "['boss', 'fight', 'good']")):
     _add(
         _name,
         lambda c, s=_split: _bridge(ingest.ingest(c, _records(c), split_ws=s)),
-        f" SELECT track_id, tag FROM track_tags JOIN tags ON tags.id = tag_id UNION SELECT unnest([id, 'new' || id]), t.tag FROM tracks, (SELECT unnest({_tags}) AS tag) t WHERE {_THIRD}",
+        f" SELECT track_id, tag FROM track_tags JOIN tags ON tags.id = tag_id UNION SELECT unnest([id, 'new' || id]), t.tag FROM tracks, (SELECT unnest({_tags}) AS tag) t",
     )
 
 
+def _ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tracks' records as files of one object each, read back and ingested: the new tracks' titles."""
+    folder = new_path(spark, "records")
+    names = spark.range(12).select(F.concat(F.lit("f"), F.col("id")).alias("id"), F.col("id").alias("k"))
+    texts = names.select(F.to_json(F.struct("id", F.concat(F.lit("title\n"), F.col("k")).alias("track_title"), F.array(F.lit("a b")).alias("tags"))).alias("value"))
+    texts.repartitionByRange(12, "value").write.option("maxRecordsPerFile", 1).text(folder)
+    c = adapted(spark, sf_dir)
+    return _state(ingest.ingest(c, read_ingest(spark, folder)))
+
+
+QUERIES["ingest_files"] = _ingest_files
+ORACLES["ingest_files"] = f"{oracle_views()}{_NAMED} SELECT id, track_title, artist, origin FROM named UNION ALL SELECT 'f' || k, 'title' || chr(10) || k, 'No artist provided', 'No origin provided' FROM range(12) r(k)"
+#: The driver's tables, each a file or folder of its name.
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+QUERIES["present_files"] = lambda spark, sf_dir: present_ids(spark, sf_dir, ".parquet")
+ORACLES["present_files"] = f"SELECT unnest([{', '.join(repr(t) for t in _TABLES)}]) AS id"
+QUERIES["seed_names"] = lambda spark, sf_dir: (lambda c: c.artists.select("id", F.col("artist").alias("name")).unionByName(c.origins.select("id", F.col("origin").alias("name"))))(empty_catalogue(spark))
+ORACLES["seed_names"] = "SELECT cast(1 AS bigint) AS id, unnest(['No artist provided', 'No origin provided']) AS name"
+
+
 def _downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k")
@@ -260,6 +306,16 @@ def _asked(c: Catalogue) -> DataFrame:
 
 
 _add("resolve_known", lambda c: ingest.resolve(c, _asked(c))[0], f"{_NAMED} SELECT 'https://youtu.be/' || id AS input, id, track_title AS title, artist, origin FROM named WHERE cast(id AS bigint) % 2 = 0")
+_add(
+    "resolve_fetched",
+    lambda c: ingest.resolve_or_fetch(
+        c,
+        c.tracks.select(F.concat(F.lit("https://youtu.be/"), F.when(F.col("id").cast("long") % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("x"), F.col("id")))).alias("input")),
+        lambda ids: ids.select("id", F.lit("2024").alias("upload_date"), F.concat(F.lit("fetched "), F.col("id")).alias("title")),
+    )[1],
+    f"{_NAMED} SELECT 'https://youtu.be/' || id AS input, id, track_title AS title, artist, origin FROM named WHERE cast(id AS bigint) % 2 = 0"
+    " UNION ALL SELECT 'https://youtu.be/x' || id, 'x' || id, 'fetched x' || id, 'No artist provided', 'No origin provided' FROM tracks WHERE cast(id AS bigint) % 2 <> 0",
+)
 _add("resolve_missing", lambda c: ingest.resolve(c, _asked(c))[1], " SELECT 'x' || id AS input, 'x' || id AS id, false AS valid FROM tracks WHERE cast(id AS bigint) % 2 <> 0")
 
 
@@ -306,3 +362,29 @@ QUERIES["toggle_state"] = lambda spark, sf_dir: state.toggles(player_events(spar
 ORACLES["toggle_state"] = f"""{_EVENT_SQL}, since AS (SELECT guild, max((ts, seq)) AS s FROM e WHERE kind = 'play' GROUP BY guild)
 SELECT p.guild, count(*) FILTER (e.kind = 'pause' AND (e.ts, e.seq) > s) % 2 = 1 AS paused, count(*) FILTER (e.kind = 'loop' AND (e.ts, e.seq) > s) % 2 = 0 AS looping
 FROM playing p JOIN since USING (guild) JOIN e ON e.guild = p.guild GROUP BY p.guild"""
+
+
+def _first_guild(events: DataFrame):
+    """The smallest guild that plays something."""
+    return state.now_playing(events).agg(F.min("guild")).first()[0]
+
+
+_LATER = "2100-01-01"
+
+
+def _with_first(run: Callable[[DataFrame, object], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = player_events(spark, sf_dir)
+        return run(events, _first_guild(events))
+
+    return query
+
+
+_FIRST = "(SELECT min(guild) FROM playing)"
+QUERIES["require_now_playing"] = _with_first(state.require_now_playing)
+ORACLES["require_now_playing"] = f"{_EVENT_SQL} SELECT guild, track, ts FROM playing WHERE guild = {_FIRST}"
+QUERIES["leave_player"] = _with_first(lambda events, guild: state.now_playing(state.leave(events, guild, _LATER)))
+ORACLES["leave_player"] = f"{_EVENT_SQL} SELECT guild, track, ts FROM playing WHERE guild <> {_FIRST}"
+for _name, _kind, _paused, _looping in (("pause_player", state.PAUSE, "NOT paused", "looping"), ("loop_player", state.LOOP, "paused", "NOT looping")):
+    QUERIES[_name] = _with_first(lambda events, guild, k=_kind: state.flip(events, guild, k, _LATER)[1])
+    ORACLES[_name] = f"SELECT guild, {_paused} AS paused, {_looping} AS looping FROM ({ORACLES['toggle_state']}) t WHERE guild = (SELECT min(guild) FROM ({ORACLES['now_playing']}) p)"

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from shellac.operators import state
+from shellac.plans.commands import COMMANDS
 from shellac.streaming.now_playing import stream_now_playing
 
 SCHEMA = "guild long, ts timestamp_ntz, seq long, kind string, track string"
@@ -32,6 +33,19 @@ def test_require(spark):
         state.require_now_playing(df, 2)
 
 
+def test_commands_append_events(spark):
+    df = spark.createDataFrame(events(), SCHEMA)
+    later = dt.datetime(2025, 1, 1)
+    after, now = COMMANDS["pause"](df, 1, later)
+    assert [tuple(r) for r in now.collect()] == [(1, True, False)] and after.count() == df.count() + 1
+    again, now = COMMANDS["loop_track"](after, 1, later)
+    assert [tuple(r) for r in now.collect()] == [(1, True, True)]
+    gone = COMMANDS["leave"](again, 1, later)
+    assert {r["guild"] for r in state.now_playing(gone).collect()} == {3}
+    with pytest.raises(LookupError):
+        COMMANDS["pause"](gone, 1, later)
+
+
 def test_toggles_start_anew_with_each_play(spark):
     got = {r["guild"]: (r["paused"], r["looping"]) for r in state.toggles(spark.createDataFrame(events(), SCHEMA)).collect()}
     assert got == {1: (False, False), 3: (True, True)}

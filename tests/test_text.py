@@ -1,8 +1,8 @@
 """Golden values of the text functions."""
 
+import random
+
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shellac.functions import text
@@ -53,23 +53,34 @@ def test_video_id(spark):
     assert values(spark, text.normalise_input, "abc", "https://youtu.be/x", None) == ["abc", "x", None]
 
 
-def test_fit_fields_examples():
-    assert text.fit_fields(["a", "b", "c", "d"]) == "a | b | c | d"
-    cut = text.fit_fields(["a" * 200, "b", "c", "d"])
-    assert cut == "a" * 83 + "… | b | c | d" and len(cut.encode()) <= 100
-    assert text.fit_fields(["é" * 100, "b"]).endswith("… | b")
+def fitted(spark, rows):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, fields array<string>")
+    return [r[0] for r in df.orderBy("i").select(text.fit_fields(F.col("fields"))).collect()]
+
+
+def test_fit_fields_examples(spark):
+    same, cut, accents, two, all_four, none = fitted(spark, [["a", "b", "c", "d"], ["a" * 200, "b", "c", "d"], ["é" * 100, "b"], ["a" * 60, "b" * 60, "c", ""], ["a" * 90, "b" * 90, "c" * 90, "d" * 90], [None, "x"]])
+    assert same == "a | b | c | d" and cut == "a" * 83 + "… | b | c | d" and len(cut.encode()) <= 100
+    assert accents.endswith("… | b") and none == " | x"
+    assert two == f"{'a' * 60} | {'b' * 25}… | c | "
+    assert all_four == f"{'a' * 86}… | … | … | …"
+
+
+def test_fit_fields_equals_a_loop(spark):
+    r = random.Random(1)
+    rows = [["".join(r.choice("aé日😀 ") for _ in range(r.choice([0, 1, 3, 20, 60, 200]))) for _ in range(4)] for _ in range(300)]
 
+    def loop(fields):
+        parts = [(len(f.encode()), i, f) for i, f in enumerate(fields)]
+        give, out = sum(p[0] for p in parts) - 89, dict(enumerate(fields))
+        for size, i, f in sorted(parts, reverse=True):
+            if give > 0:
+                rest = max(size - give, 0)
+                out[i] = f.encode()[: rest - 3 if rest > 3 else rest].decode(errors="ignore") + "…"
+            give -= size
+        return " | ".join(out[i] for i in range(4))
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(max_size=120), min_size=4, max_size=4))
-def test_fit_fields_properties(fields):
-    out = text.fit_fields(fields)
-    parts = [f.encode() for f in fields]
-    if sum(map(len, parts)) <= 89:
-        assert out == " | ".join(fields)
-    else:
-        assert "…" in out
-    assert out.encode().decode() == out
+    assert fitted(spark, rows) == [loop(x) for x in rows]
 
 
 def test_audio_path_and_changes(spark):
