@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from shellac.storage import discard, materialise, new_path
 
-__all__ = ["ascii_lower", "bound_batches", "broadcast_if_small", "discard", "materialise", "new_path", "release_memory"]
+__all__ = ["ascii_lower", "bound_batches", "broadcast_if_small", "discard", "materialise", "new_path", "quoted", "release_memory"]
 
+_NUMBERS = ("byte", "short", "integer", "long", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -20,9 +21,16 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only when the counted rows are at most ``limit``; beyond it Spark shuffles the join."""
-    return F.broadcast(df) if rows <= limit else df
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def broadcast_if_small(df: DataFrame, rows: int, most_bytes: int = 32 << 20) -> DataFrame:
+    """Hint a broadcast only when the counted rows take at most ``most_bytes``, with 8 bytes for a number and 40 for anything else;
+    beyond it Spark shuffles the join."""
+    width = sum(8 if f.dataType.typeName() in _NUMBERS else 40 for f in df.schema)
+    return F.broadcast(df) if rows * width <= most_bytes else df
 
 
 def bound_batches(spark: SparkSession, limit: int = 4 << 20) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellac.llm.common import broadcast_if_small, materialise
+from shellac.llm.common import broadcast_if_small, discard, materialise
 
 #: Each source's keys are cut into 2**BLOCK_BITS ranges, whose sums are added up before any row is sorted.
 BLOCK_BITS = 12
@@ -86,6 +86,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         .select(F.col("s.source").alias("_m_source"), "source_size", "target", "epochs", "cut_key", "cut_rest", "cut_size"),
         "plan",
     )
+    for t in (sized, blocks, sources):
+        discard(t)
     added = ("size", "source_size", "target", "taken", "copies")
     row = F.struct(*[F.col(f"m.{c}").alias(c) for c in ("source_size", "target", "epochs", "cut_key", "cut_rest", "cut_size")], key.alias("key"), word_count(F.col(f"d.{text}")).alias("size"))
     kept = [c for c in docs.columns if c not in added]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shellac.llm import graph
-from shellac.llm.common import materialise
+from shellac.llm.common import discard, materialise
 
 #: Vectors of a shard, whose graph one task builds, and queries that search a shard together.
 SHARD_VECTORS, BLOCK_QUERIES = 8192, 2048
@@ -133,4 +133,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_vectors: i
     others = F.filter(F.array_distinct(one), lambda c: c["vec_id"] != F.col("query_id"))
     best = asked.select(F.col("vec_id").alias("query_id"), "key").distinct().join(by_key, "key").select("query_id", F.slice(F.array_sort(others), 1, k).alias("best"))
     told = best.select("query_id", F.posexplode("best").alias("at", "c"))
-    return told.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.below")).alias("score"))
+    out = told.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("c.vec_id").alias("vec_id"), (-F.col("c.below")).alias("score"))
+    out = materialise(out, "nearest")
+    for t in (rows, asked, classes, index, alike):
+        discard(t)
+    return out

@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shellac.llm.common import bound_batches, broadcast_if_small, discard, materialise, release_memory
+from shellac.llm.common import bound_batches, broadcast_if_small, discard, materialise, quoted, release_memory
 from shellac.llm.components import connected_components
 from shellac.llm.prefix_tree import links as tree_links
 from shellac.llm.shingles import shingle_sets
@@ -38,8 +38,12 @@ FAMILY = 8192
 SPARE = 4
 #: Times that the order is settled anew: other tokens move up into prefixes, and may be frequent.
 ROUNDS = 3
-#: Sets a task gets on average.
-TASK_SETS = 2000
+#: The same in bytes of their sets.
+FAMILY_BYTES = 64 << 20
+#: Sets that a task gets on average, and their bytes.
+TASK_SETS, TASK_BYTES = 2000, 32 << 20
+#: Parts of a component's rows, where its name is too large a table to broadcast.
+SALTS = 16
 _LAST = 1 << 62
 
 
@@ -108,13 +112,18 @@ def _documents_of(docs: DataFrame, classes: DataFrame, size: int, percent: int,
     return made.select("key", "tokens").join(some.select("key"), "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
-def _families(classes: DataFrame, percent: int, scratch: list[DataFrame]) -> DataFrame:
-    """Candidate links (a, b) of classes (cid, n, prefix): all linked classes are connected by them. Tables that it writes are
-    added to ``scratch``."""
-    rows = classes.select("cid", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"), F.explode("prefix").alias("token"))
-    narrow = rows.select("token", "cid")
-    shared = materialise(narrow.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1"), "shared")
-    few, many = shared.where(F.col("c") <= FEW).select("token", "cid"), shared.where(F.col("c") > FEW).select("token", "cid")
+def _families(classes: DataFrame, percent: int, scratch: list[DataFrame], hot: bool) -> DataFrame:
+    """Candidate links (a, b) of classes (cid, n, prefix): all linked classes are connected by them. ``hot`` tells whether any token
+    may be frequent still; the rows of such a token never meet in one task. Tables that it writes are added to ``scratch``."""
+    narrow = classes.select("cid", F.explode("prefix").alias("token")).select("token", "cid")
+    often = narrow.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > FEW).select("token")
+    often = materialise(often if hot else often.limit(0), "often")
+    known = broadcast_if_small(often, often.count())
+    rest = narrow.join(known, "token", "left_anti") if hot else narrow
+    few = materialise(rest.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").select("token", "cid"), "few")
+    many = materialise(narrow.join(known, "token", "left_semi") if hot else narrow.limit(0), "many")
+    shared = few.unionByName(many)
+    scratch += [often, few, many]
     held = classes.select("cid", "n", F.size("prefix").alias("p"), F.element_at("prefix", -1).alias("last"))
     frequent = many.groupBy("cid").agg(F.count("*").alias("q"))
     held = materialise(held.join(shared.select("cid").distinct(), "cid", "left_semi").join(frequent, "cid", "left").fillna(0, ["q"]), "held")
@@ -131,7 +140,7 @@ def _families(classes: DataFrame, percent: int, scratch: list[DataFrame]) -> Dat
     # linked sizes differ by less than one range, so a member, its range's leader and the next range's are connected
     ranged = many.join(held.select("cid", "n"), "cid").withColumn("r", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9))
     leaders = materialise(ranged.groupBy("token", "r").agg(F.min("cid").alias("leader")), "leaders")
-    scratch += [shared, held, leaders]
+    scratch += [held, leaders]
     to_own = ranged.join(broadcast_if_small(leaders, leaders.count()), ["token", "r"]).select(F.col("leader").alias("a"), F.col("cid").alias("b")).where("a <> b")
     to_next = leaders.join(leaders.select("token", (F.col("r") - 1).alias("r"), F.col("leader").alias("b")), ["token", "r"]).select(F.col("leader").alias("a"), "b").where("a <> b")
     return near.unionByName(to_own.distinct()).unionByName(to_next.distinct())
@@ -139,7 +148,8 @@ def _families(classes: DataFrame, percent: int, scratch: list[DataFrame]) -> Dat
 
 def _join_tasks(tasks: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of rows (task, cid, probe, member, tokens): inside a task, each probe against all members."""
-    n = max(1, -(-tasks.count() // TASK_SETS))
+    sets, size = tasks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
+    n = max(1, -(-sets // TASK_SETS), -(-size // TASK_BYTES))
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -156,9 +166,9 @@ def _join_tasks(tasks: DataFrame, percent: int) -> DataFrame:
 
 
 def _large_family_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of families beyond ``FAMILY`` (family, cid, m members), in blocks of half as many: each block against itself and
-    every later one."""
-    n = F.ceil(F.col("m") / (FAMILY // 2)).cast("int")
+    """Links of families beyond ``FAMILY`` or ``FAMILY_BYTES`` (family, cid, m members, size of their sets), in blocks of half as
+    much: each block against itself and every later one."""
+    n = F.ceil(F.greatest(F.col("m") / (FAMILY // 2), F.col("size") / (FAMILY_BYTES // 2))).cast("int")
     own = large.select("family", "cid", n.alias("_n"), F.pmod(F.xxhash64("cid"), n).alias("_k"))
     pairs = own.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j"))
     task = F.concat_ws("/", "family", F.least("_k", "_j"), F.greatest("_k", "_j"))
@@ -201,24 +211,40 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
             break
         late = np.sort(np.concatenate([late, np.array([r["token"] for r in new], np.int64)]))
 
-    families = connected_components(_families(classes, percent, scratch)).select(F.col("node").alias("cid"), F.col("component").alias("family"))
+    linked = connected_components(_families(classes, percent, scratch, bool(new) or len(late) > 0))
+    families = materialise(linked.select(F.col("node").alias("cid"), F.col("component").alias("family")).join(base.select("cid", "n"), "cid"), "families")
     _drop(scratch)
-    families = materialise(families, "families")
-    large = materialise(families.groupBy("family").agg(F.count("*").alias("m")).where(F.col("m") > FAMILY), "large")
-    families = families.join(broadcast_if_small(large, large.count()), "family", "left")
-    wanted = materialise(families.join(base.select("cid", "key", "rep"), "cid"), "wanted")
+    whole = families.groupBy("family").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("size"))
+    large = materialise(whole.where((F.col("m") > FAMILY) | (F.col("size") > FAMILY_BYTES)), "large")
+    named = families.drop("n").join(broadcast_if_small(large, large.count()), "family", "left")
+    wanted = materialise(named.join(base.select("cid", "key", "rep"), "cid"), "wanted")
     sets = materialise(_documents_of(docs, wanted, size, percent, None, True).join(wanted.select("key", "cid"), "key").select("cid", "tokens"), "members")
     small = wanted.where("m is null").select(F.col("family").cast("string").alias("task"), "cid", F.lit(True).alias("probe"), F.lit(True).alias("member"))
     found = _join_tasks(small.join(sets, "cid"), percent)
     if large.limit(1).count():
-        found = found.unionByName(_large_family_links(wanted.where("m is not null").select("family", "cid", "m"), sets, percent))
-    parts = connected_components(found).select(F.col("node").alias("cid"), "component")
-    _drop([sets])
-    named = base.select("cid", "key", "rep").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_key = named.join(smallest, "component").select("key", "component", "component_id")
+        found = found.unionByName(_large_family_links(wanted.where("m is not null").select("family", "cid", "m", "size"), sets, percent))
+    parts = connected_components(found)
+    grouped = _with_smallest(base.select("cid", "key", "rep").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left"))
     alone = rows.where("key is null").select("doc_id", *carried, "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
-    return rows.where("key is not null").drop("tokens").join(by_key, "key").select(*alone.columns).unionByName(alone)
+    out = materialise(rows.where("key is not null").drop("tokens").join(grouped, "key").select(*alone.columns).unionByName(alone), "components")
+    _drop([rows, first, linked, families, large, wanted, sets, parts])
+    return out
+
+
+def _with_smallest(named: DataFrame) -> DataFrame:
+    """key, component and component_id (its smallest rep) of classes (cid, key, rep, component, null if nothing is linked).
+
+    A large component's rows don't meet in one task: the smallest ids are few enough to broadcast, or go to ``SALTS`` parts.
+    """
+    linked = named.where("component is not null")
+    smallest = materialise(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")
+    n = smallest.count()
+    alone = named.where("component is null").select("key", F.col("cid").alias("component"), F.col("rep").alias("component_id"))
+    known = broadcast_if_small(smallest, n)
+    if known is smallest:
+        linked = linked.withColumn("_salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
+        known = smallest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return linked.join(known, [c for c in known.columns if c != "component_id"]).select("key", "component", "component_id").unionByName(alone)
 
 
 def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -240,14 +266,15 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Documents without words stay, as they are linked with nothing. Rows without a doc_id go if one with an id is in their group;
     of equal rows one stays. Texts move only where rows repeat or the rows that go are too many to broadcast their keys.
     """
-    marked = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("_mark"))
-    found = materialise(_components(marked, size, percent), "grouped")
+    mark = F.md5(F.coalesce("text", F.lit("")))
+    found = _components(docs.select("doc_id", "text", mark.alias("_mark")), size, percent)
     grouped = found.where("component is not null")
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_mark")).alias("r"))
     chosen = first.select("component", F.col("r.doc_id").alias("_id"), F.col("r._mark").alias("_mark"))
     same = (grouped["component"] == chosen["component"]) & grouped["doc_id"].eqNullSafe(chosen["_id"]) & (grouped["_mark"] == chosen["_mark"])
     gone = materialise(grouped.join(chosen, same, "left_anti").select(F.col("doc_id").alias("_id"), "_mark").distinct(), "gone")
-    own = docs.withColumn("_own", F.md5(F.coalesce("text", F.lit(""))))
-    kept = own.join(broadcast_if_small(gone, gone.count(), 100_000), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_anti")
     repeated = grouped.groupBy("doc_id", "_mark").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "_own"]) if repeated else kept).drop("_own")
+    discard(found)
+    own = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own_id"), mark.alias("_own"))  # clashes with no column
+    kept = own.join(broadcast_if_small(gone, gone.count(), 8 << 20), F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")), "left_anti")
+    return (kept.dropDuplicates(["_own_id", "_own"]) if repeated else kept).select("_row.*")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shellac.llm.common import bound_batches, release_memory
+from shellac.llm.common import bound_batches, quoted, release_memory
 
 #: Pieces packed together by one task; a shard costs at most a few part-filled sequences.
 SHARD_PIECES = 32_768
@@ -101,11 +101,15 @@ def pack(pieces: DataFrame, capacity: int = 4096, shard_pieces: int = SHARD_PIEC
     spread. Each shard goes through the sum-of-squares rule, first the longest four fifths in random order, then
     the short ones, longest first, which fill what is open. Offsets in a sequence are gapless from 0. Give a written
     table: its rows are counted, then read once more, and their places must not change. An empty table gives
-    an empty result. A length outside 1..capacity raises.
+    an empty result. A length outside 1..capacity raises. Columns of the added names are replaced.
     """
     shards = max(1, -(-pieces.count() // shard_pieces))
-    names = pieces.columns
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    shard = "_shard"
+    while shard in names:
+        shard += "_"
+    pieces = pieces.select(*[F.col(quoted(c)) for c in names])
+    dealt = pieces.withColumn(shard, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     order = ["length", *[c for c in names if c != "length"]]
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -117,10 +121,10 @@ def pack(pieces: DataFrame, capacity: int = 4096, shard_pieces: int = SHARD_PIEC
         turn[: len(turn) * 4 // 5] = np.random.default_rng(0).permutation(len(turn) * 4 // 5)
         where, offset = np.empty(len(turn), np.int64), np.empty(len(turn), np.int64)
         where[turn], offset[turn] = place_sum_of_squares(lengths[turn], capacity)
-        return rows.drop(columns="_shard").assign(sequence_id=where + (int(key[0]) << _PLACE_BITS), offset=offset)
+        return rows.drop(columns=shard).assign(sequence_id=where + (int(key[0]) << _PLACE_BITS), offset=offset)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema] + ["sequence_id long", "offset long"])
-    return dealt.groupBy("_shard").applyInPandas(place, schema)
+    schema = ", ".join([f"{quoted(f.name)} {f.dataType.simpleString()}" for f in pieces.schema] + ["sequence_id long", "offset long"])
+    return dealt.groupBy(shard).applyInPandas(place, schema)
 
 
 def assemble(placed: DataFrame) -> DataFrame:
