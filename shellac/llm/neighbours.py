@@ -2,41 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shellac.llm import graph
-from shellac.llm.common import discard, materialise
+from shellac.llm.common import bound_batches, discard, materialise
 
-#: Vectors of a shard, whose graph one task builds, and queries that search a shard together.
-SHARD_VECTORS, BLOCK_QUERIES = 8192, 2048
+#: Vectors of a shard, whose graph one task builds, and queries that go through a graph together.
+SHARD_VECTORS, BLOCK_QUERIES = 8192, 256
+#: Most tasks that search; with more shards a task takes several, one after the other.
+SEARCH_TASKS = 65_536
 
 
 def _as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Valid vectors as float64 bytes, with a key that equal vectors share."""
-    import hashlib
-
+    names = ["vec_id", "key", "dim", "vector"]
     for b in batches:
-        ids, keys, data, dims = [], [], [], []
-        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if i is None or v is None or not v or None in v:
-                continue
-            x = np.array(v, np.float64) + 0.0
-            with np.errstate(over="ignore", invalid="ignore"):
-                norm = np.sqrt(x @ x)
-            if not np.isfinite(x).all() or not x.any() or not np.isfinite(norm) or norm == 0:
-                continue
-            raw = x.tobytes()
-            ids.append(i)
-            data.append(raw)
-            dims.append(len(v))
-            keys.append(hashlib.blake2b(raw, digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(dims, pa.int32()), pa.array(data, pa.binary())], ["vec_id", "key", "dim", "vector"])
+        there = pc.and_(pc.is_valid(b.column(0)), pc.greater(pc.fill_null(pc.list_value_length(b.column(1)), 0), 0))
+        ids, lists = b.column(0).filter(there), b.column(1).filter(there)
+        dims = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(dims):
+            continue
+        x = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) + 0.0  # null components become NaN, -0.0 becomes 0.0
+        starts = np.concatenate([[0], np.cumsum(dims)])
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares = np.add.reduceat(x * x, starts[:-1])  # NaN, infinite or too large: not finite
+        valid = np.flatnonzero(np.isfinite(squares) & (squares > 0))
+        data = [x[starts[i] : starts[i + 1]].tobytes() for i in valid.tolist()]
+        keys = [hashlib.blake2b(raw, digest_size=16).digest() for raw in data]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(valid)).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(dims[valid], pa.int32()), pa.array(data, pa.binary())], names)
 
 
 def _unit(blob: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,40 +72,64 @@ def build_index(classes: DataFrame, shard_vectors: int = SHARD_VECTORS, degree:
     return dealt.groupBy("shard", "dim").applyInPandas(make, "shard int, dim int, keys binary, firsts binary, vectors binary, links binary, entry long")
 
 
+class _Shard:
+    """One row of the index, opened for search."""
+
+    def __init__(self, row: dict, degree: int):
+        self.dim, self.keys = row["dim"], row["keys"]
+        self.x, self.norms, unit = _unit(row["vector"], self.dim)
+        self.firsts = np.frombuffer(row["firsts"], np.int64)
+        distinct, self.members, self.begin = _nodes(unit)
+        self.graph = graph.Graph(distinct, np.frombuffer(row["links"], np.int32).reshape(-1, degree), row["entry"])
+        self.nodes = len(distinct)
+
+    def search(self, names: list[bytes], vectors: list[bytes], k: int, beam: int) -> list[tuple]:
+        """(query, class key, first_id, score) of the ``k`` nearest classes of each query."""
+        q, q_norms, q_unit = _unit(b"".join(vectors), self.dim)
+        out = []
+        near = self.graph.search(q_unit, max(k, min(beam, self.nodes)))[0][:, : 2 * k]
+        for i, nodes in enumerate(near):
+            c = np.concatenate([self.members[self.begin[n] : self.begin[n + 1]] for n in nodes if n >= 0])
+            score = self.x[c] @ q[i] / (self.norms[c] * q_norms[i])
+            best = np.lexsort((self.firsts[c], -score))[:k]
+            out += [(names[i], self.keys[16 * j : 16 * j + 16], int(self.firsts[j]), s) for j, s in zip(c[best].tolist(), score[best].tolist())]
+        return out
+
+
 def search_index(index: DataFrame, queries: DataFrame, k: int, degree: int = 32, beam: int = 160, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """The ``k`` nearest classes of each query (key, dim, vector) in every shard: key, found (a class key), first_id, score.
 
-    Queries are cut into blocks of bounded size by a hash of the key; a task holds one shard and one block. The beam ranks by
-    single precision; the scores are cosines of the original vectors in double precision, ties go to the smaller first_id.
+    A shard moves once: in its partition it sorts before the queries, which stream past it in blocks, so a task holds one
+    shard and one batch however many queries there are. The beam ranks by single precision; the scores are cosines of
+    the original vectors in double precision, ties go to the smaller first_id.
     """
-    blocks = max(1, -(-queries.count() // block_queries))
+    bound_batches(index.sparkSession)
     empty = F.lit(None).cast("binary")
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).join(index.select("shard", "dim"), "dim")
-    asked = asked.select("shard", "dim", "block", "key", "vector", *[empty.alias(c) for c in ("keys", "firsts", "links")], F.lit(0).cast("long").alias("entry"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = held.select("shard", "dim", "block", empty.alias("key"), F.col("vectors").alias("vector"), "keys", "firsts", "links", "entry")
-
-    def find(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        own, asked = rows[rows["keys"].notna()], rows[rows["keys"].isna()]
-        if not len(own) or not len(asked):
-            return pd.DataFrame({"key": [], "found": [], "first_id": [], "score": []})
-        own = own.iloc[0]
-        x, norms, unit = _unit(own["vector"], int(key[1]))
-        firsts = np.frombuffer(own["firsts"], np.int64)
-        distinct, members, begin = _nodes(unit)
-        g = graph.Graph(distinct, np.frombuffer(own["links"], np.int32).reshape(-1, degree), int(own["entry"]))
-        q, q_norms, q_unit = _unit(b"".join(asked["vector"]), int(key[1]))
-        names, out = asked["key"].tolist(), []
-        for at in range(0, len(q), 256):
-            near = g.search(q_unit[at : at + 256], max(k, min(beam, len(distinct))))[0][:, : 2 * k]
-            for i, nodes in enumerate(near, at):
-                c = np.concatenate([members[begin[n] : begin[n + 1]] for n in nodes if n >= 0])
-                score = x[c] @ q[i] / (norms[c] * q_norms[i])
-                best = np.lexsort((firsts[c], -score))[:k]
-                out += [(names[i], own["keys"][16 * j : 16 * j + 16], firsts[j], s) for j, s in zip(c[best].tolist(), score[best].tolist())]
-        return pd.DataFrame(out, columns=["key", "found", "first_id", "score"])
-
-    return asked.unionByName(held).groupBy("shard", "dim", "block").applyInPandas(find, "key binary, found binary, first_id long, score double")
+    asked = queries.join(index.select("shard", "dim"), "dim")
+    asked = asked.select("shard", "dim", "key", "vector", *[empty.alias(c) for c in ("keys", "firsts", "links")], F.lit(0).cast("long").alias("entry"))
+    held = index.select("shard", "dim", empty.alias("key"), F.col("vectors").alias("vector"), "keys", "firsts", "links", "entry")
+    tasks = min(max(1, index.count()), SEARCH_TASKS)
+    rows = asked.unionByName(held).repartition(tasks, "shard", "dim").sortWithinPartitions("shard", "dim", F.col("key").isNotNull())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            of, keys, vectors = list(zip(*[batch.column(i).to_pylist() for i in (0, 1)])), batch.column(2).to_pylist(), batch.column(3)
+            at = 0
+            while at < len(of):
+                if keys[at] is None:
+                    shard = _Shard(batch.slice(at, 1).to_pylist()[0], degree)
+                    at += 1
+                    continue
+                end = at + 1
+                while end < len(of) and end - at < block_queries and keys[end] is not None and of[end] == of[at]:
+                    end += 1
+                out = shard.search(keys[at:end], vectors.slice(at, end - at).to_pylist(), k, beam)
+                columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "found", "first_id", "score"])
+                at = end
+
+    return rows.mapInArrow(find, "key binary, found binary, first_id long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_vectors: int = SHARD_VECTORS, degree: int = 32, beam: int = 160) -> DataFrame:
