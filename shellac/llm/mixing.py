@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from shellac.llm.common import broadcast_if_small, discard, materialise
 
-#: Each source's keys are cut into 2**BLOCK_BITS ranges, whose sums are added up before any row is sorted.
-BLOCK_BITS = 12
+#: Each source's keys are cut into 2**BLOCK_BITS ranges at least, whose sums are added up before any row is sorted; into more where
+#: the table has over BLOCK_ROWS rows for each, so that the one range which is sorted stays as small.
+BLOCK_BITS, BLOCK_ROWS = 12, 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -56,7 +57,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     spark = docs.sparkSession
     key = F.xxhash64("doc_id", F.lit(seed))
     sized = materialise(docs.select("source", key.alias("key"), word_count(F.col(text)).alias("size")), "sizes")
-    block = F.shiftright("key", 64 - BLOCK_BITS)
+    bits = min(40, max(BLOCK_BITS, (sized.count() // BLOCK_ROWS).bit_length()))
+    block = F.shiftright("key", 64 - bits)
     blocks = sized.groupBy("source", block.alias("block")).agg(F.sum("size").alias("block_size"))
     by_block = Window.partitionBy("source").orderBy("block")
     blocks = materialise(blocks.withColumn("before", F.sum("block_size").over(by_block) - F.col("block_size")), "blocks")
@@ -75,7 +77,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         .select(F.col("s.source").alias("source"), "block", (F.col("s.rest") - F.col("b.before")).alias("rest"))
     )
     at_cut = (
-        sized.alias("d").join(broadcast_if_small(cut, n).alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.shiftright("d.key", 64 - BLOCK_BITS) == F.col("c.block")))
+        sized.alias("d").join(broadcast_if_small(cut, n).alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.shiftright("d.key", 64 - bits) == F.col("c.block")))
         .groupBy("c.source", "d.key", "c.rest").agg(F.sum("d.size").alias("key_size"))
         .withColumn("before", F.sum("key_size").over(Window.partitionBy("source").orderBy("key")) - F.col("key_size"))
         .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("key_size")))

@@ -64,3 +64,10 @@ def test_whole_documents_come_near_the_targets(spark):
     for r in mixed.groupBy("source").agg({"target": "max"}).collect():
         words = sum(len(x["text"].split()) for x in taken.where(taken.source == r["source"]).collect())
         assert abs(words - r["max(target)"]) <= 30
+
+
+def test_more_ranges_give_the_same(spark, monkeypatch):
+    want = {r["doc_id"]: r["taken"] for r in queries.op8_mix_sources(spark, SF).collect()}
+    monkeypatch.setattr(mixing, "BLOCK_BITS", 2)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 3)
+    assert {r["doc_id"]: r["taken"] for r in queries.op8_mix_sources(spark, SF).collect()} == want
