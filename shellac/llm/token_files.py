@@ -101,11 +101,12 @@ class TokenFile:
         self.length = int(self.reader.schema.metadata[b"sequence_length"])
         self._batch: tuple[int, np.ndarray] = (-1, np.empty(0))
 
-    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one row, the ids without a copy."""
+    def sequence(self, row: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of one row, both without a copy: the mask stays in Arrow, whose booleans are bits."""
         batch = self.reader.get_batch(row // BATCH_ROWS)
         at = row % BATCH_ROWS
-        return tuple(batch.column(i).slice(at, 1).flatten().to_numpy(zero_copy_only=not i) for i in (0, 1))
+        ids, mask = (batch.column(i).slice(at, 1).flatten() for i in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """The ids from ``start`` on."""

@@ -37,6 +37,19 @@ def test_files_are_fixed_size_rows_with_masks(spark):
         assert not [f for f in os.listdir(os.path.dirname(base.removeprefix("file://"))) if f.count(".") > 1]
 
 
+def test_sequences_and_masks_are_not_copied(spark):
+    docs = spark.createDataFrame([(i, "a word " * 30) for i in range(50)], "doc_id long, text string")
+    (base, _, n, _), *_ = token_files.write_token_files(docs, PATH, new_path(spark, "tokens"), sequence_length=16, partitions=1).files
+    file = token_files.TokenFile(base)
+    before = pa.total_allocated_bytes()
+    for row in range(n // 16):
+        batch = file.reader.get_batch(row // token_files.BATCH_ROWS)
+        ids, mask = file.sequence(row)
+        held = [batch.column(i).flatten().buffers()[1] for i in (0, 1)]
+        assert mask.buffers()[1].address == held[1].address and 0 <= ids.ctypes.data - held[0].address < held[0].size
+        assert len(ids) == len(mask) == 16 and pa.total_allocated_bytes() == before
+
+
 def test_edge_rows(spark):
     rows = [(None, None, 1), (5, "", 1), (5, "", 1), (5, "b", 1), (3, "x " * 50_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start long")
