@@ -5,6 +5,7 @@ Both are worked out in Arrow batches; the model reads the batch's bytes at once
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -128,11 +129,12 @@ class QualityModel:
         return sigmoid(self.slope * out + self.shift)
 
 
-def fit(examples: Sequence[tuple[str, int]], epochs: int = 6, scale: float = 20.0, seed: int = 3) -> QualityModel:
+def fit(examples: Sequence[tuple[str, int]], epochs: int = 6, scale: float = 20.0, seed: int = 3, true: Sequence[int] | None = None) -> QualityModel:
     """Train on (text, label) pairs: three quarters fit the weights, one quarter the calibration.
 
-    A text's features are relative frequencies, so long and short texts weigh alike. Without examples every text gets
-    0.5.
+    A text's features are relative frequencies, so long and short texts weigh alike. ``true`` has the numbers of labels 0 and 1 that
+    the examples were taken from: the calibration is moved from the examples' shares to theirs, so that a score doesn't depend
+    on how many of each were taken. Without examples every text gets 0.5.
     """
     size = 1 << BITS
     if not examples:
@@ -154,12 +156,25 @@ def fit(examples: Sequence[tuple[str, int]], epochs: int = 6, scale: float = 20.
             model.learn(*rows[k])
     w = model.weights()
     slope, shift = platt([float(w[rows[k][0]] @ rows[k][1]) for k in held], [int(rows[k][2]) for k in held])
+    n = [sum(y == k for _, y in examples) for k in (0, 1)]
+    if true and all(true) and all(n):
+        shift += math.log(true[1] / true[0] * n[0] / n[1])
     return QualityModel((w[:-1] * scale).reshape(3, size).astype(np.float32), float(w[-1]), slope, shift)
 
 
+def class_counts(labels: DataFrame) -> list[int]:
+    """Numbers of ids with quality 0 and 1 among all labels; nulls are left out."""
+    known = _known(labels).groupBy("_y").agg(F.count("*").alias("n")).collect()  # two rows
+    return [sum(r["n"] for r in known if r["_y"] == k) for k in (0, 1)]
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("_y")).distinct()
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> list[tuple[str, int]]:
     """At most ``sample`` labelled texts of each class, the first by a hash of doc_id; nulls are left out."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("_y")).distinct()
+    known = _known(labels)
     out: list[tuple[str, int]] = []
     for y in (0, 1):
         chosen = known.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)

@@ -111,7 +111,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.QualityModel:
-    return quality.fit(quality.training_rows(docs, labels))
+    return quality.fit(quality.training_rows(docs, labels), true=quality.class_counts(labels))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,20 @@ def test_held_out_accuracy_and_calibration():
     assert np.abs(p - [y for _, y in test]).mean() < 0.1
 
 
+def test_scores_follow_the_shares_of_all_labels():
+    r = random.Random(5)
+    mixed = lambda share: " ".join((good if r.random() < share else junk)(r) for _ in range(2))
+    rows = [(mixed(0.7), 1) for _ in range(400)] + [(mixed(0.3), 0) for _ in range(400)]
+    few = [(t, y) for i, (t, y) in enumerate(rows) if y or i % 8 == 0]
+    even, told = quality.fit(rows, true=[50, 400]), quality.fit(few, true=[50, 400])
+    texts = [mixed(0.5).encode() for _ in range(400)]
+    plain = quality.fit(rows).scores(texts)
+    assert even.scores(texts).mean() > plain.mean()
+    odds = lambda p: np.log(p / (1 - p))
+    assert np.allclose(odds(even.scores(texts)) - odds(plain), np.log(8)) and abs(told.scores(texts).mean() - even.scores(texts).mean()) < 0.1
+    assert quality.fit(rows, true=[0, 3]).scores(texts).mean() == plain.mean()
+
+
 def test_scores_do_not_depend_on_neighbours():
     r = random.Random(2)
     model = quality.fit([(good(r), 1) for _ in range(50)] + [(junk(r), 0) for _ in range(50)])
