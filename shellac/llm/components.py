@@ -16,7 +16,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     itself are left out; repeated links do no harm; no links give no rows.
     """
     both = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    edges = materialise(both.select("a", "b").union(both.select("b", "a")).distinct(), "edges")
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")  # the links are made once
+    edges = materialise(both.select(ends).select("e.a", "e.b").distinct(), "edges")
     labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))

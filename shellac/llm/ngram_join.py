@@ -5,7 +5,8 @@
    tokens that many prefixes share put last; classes that hold such tokens get their prefix anew.
 3. Prefix tokens put classes that may be linked into one family: through pairs, where few classes share the token, whose
    shared tokens could still reach the bound; through leaders of size ranges, where many do.
-4. Each family is joined in one task by a prefix tree, a large one in blocks.
+4. Each family is joined in one task by a prefix tree, a large one in blocks. Links are counted for each class, copies
+   included, and those that connect a family's classes come out; the pairs of a group are never listed.
 
 No step caps or samples: the frequent-token list and the leaders change the order of work, not the links.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from shellac.llm.common import bound_batches, broadcast_if_small, discard, materialise, quoted, release_memory
 from shellac.llm.components import connected_components
-from shellac.llm.prefix_tree import links as tree_links
+from shellac.llm.prefix_tree import counted_links, links
 from shellac.llm.shingles import shingle_sets
 
 #: A token that more prefixes share is frequent: it goes last in the order and makes leaders instead of pairs.
@@ -146,33 +147,40 @@ def _families(classes: DataFrame, percent: int, scratch: list[DataFrame], hot: b
     return near.unionByName(to_own.distinct()).unionByName(to_next.distinct())
 
 
-def _join_tasks(tasks: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of rows (task, cid, probe, member, tokens): inside a task, each probe against all members."""
+def _join_tasks(tasks: DataFrame, percent: int, counted: bool) -> DataFrame:
+    """Links (a, b, 0) of rows (task, cid, copies, probe, member, tokens): inside a task, each probe against all members. If they are to
+    be counted, rows (a, a, number) tell the copies of other classes that ``a`` is linked with in a task."""
     sets, size = tasks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
     n = max(1, -(-sets // TASK_SETS), -(-size // TASK_BYTES))
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for _, own in rows.sort_values(["task", "cid"], kind="stable").groupby("task", sort=False):
             sets = [np.frombuffer(t, np.int64) for t in own["tokens"]]
             cids = own["cid"].tolist()
-            found = tree_links(sets, np.flatnonzero(own["probe"].to_numpy(bool)).tolist(), np.flatnonzero(own["member"].to_numpy(bool)).tolist(), percent)
-            out += [(cids[a], cids[b]) for a, b in found]
+            probes, members = (np.flatnonzero(own[k].to_numpy(bool)).tolist() for k in ("probe", "member"))
+            if counted:
+                found, counts = counted_links(sets, probes, members, percent, own["copies"].to_numpy())
+                out += [(cids[k], cids[k], int(counts[k])) for k in np.flatnonzero(counts).tolist()]
+            else:
+                found = links(sets, probes, members, percent)
+            out += [(cids[a], cids[b], 0) for a, b in found]
         release_memory()
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(out, columns=["a", "b", "n"]).astype("int64")
 
     dealt = tasks.groupBy(F.pmod(F.xxhash64("task"), F.lit(n)).alias("_bucket"))
-    return dealt.applyInPandas(lambda rows: join(rows), "a long, b long")
+    return dealt.applyInPandas(lambda rows: join(rows), "a long, b long, n long")
 
 
-def _large_family_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of families beyond ``FAMILY`` or ``FAMILY_BYTES`` (family, cid, m members, size of their sets), in blocks of half as
+def _large_family_links(large: DataFrame, sets: DataFrame, percent: int, counted: bool) -> DataFrame:
+    """Links of families beyond ``FAMILY`` or ``FAMILY_BYTES`` (family, cid, copies, m members, size of their sets), in blocks of half as
     much: each block against itself and every later one."""
     n = F.ceil(F.greatest(F.col("m") / (FAMILY // 2), F.col("size") / (FAMILY_BYTES // 2))).cast("int")
-    own = large.select("family", "cid", n.alias("_n"), F.pmod(F.xxhash64("cid"), n).alias("_k"))
+    own = large.select("family", "cid", "copies", n.alias("_n"), F.pmod(F.xxhash64("cid"), n).alias("_k"))
     pairs = own.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j"))
     task = F.concat_ws("/", "family", F.least("_k", "_j"), F.greatest("_k", "_j"))
-    return _join_tasks(pairs.select(task.alias("task"), "cid", (F.col("_k") <= F.col("_j")).alias("probe"), (F.col("_k") >= F.col("_j")).alias("member")).join(sets, "cid"), percent)
+    rows = pairs.select(task.alias("task"), "cid", "copies", (F.col("_k") <= F.col("_j")).alias("probe"), (F.col("_k") >= F.col("_j")).alias("member"))
+    return _join_tasks(rows.join(sets, "cid"), percent, counted)
 
 
 def _drop(scratch: list[DataFrame]) -> None:
@@ -180,17 +188,18 @@ def _drop(scratch: list[DataFrame]) -> None:
         discard(scratch.pop())
 
 
-def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row a document: doc_id, columns other than the text, n, component (null without a set), component_id."""
+def _components(docs: DataFrame, size: int, percent: int, counted: bool = False) -> DataFrame:
+    """One row a document: doc_id, columns other than the text, n, component (null without a set), component_id and, if they are
+    counted, n_links."""
     bound_batches(docs.sparkSession)
     spark, carried = docs.sparkSession, [c for c in docs.columns if c not in ("doc_id", "text")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *carried).schema)
     made = docs.select("doc_id", "text", *carried).mapInArrow(_sets(size, percent, None, False), f"{fields}, n long, key binary, tokens array<long>")
     rows = materialise(made.withColumn("cid", F.monotonically_increasing_id()), "sets")
     docs = docs.select("doc_id", "text")
-    first = rows.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "cid")).alias("r")).select(F.col("r.cid").alias("cid"))
+    first = rows.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "cid")).alias("r"), F.count("*").alias("copies")).select(F.col("r.cid").alias("cid"), "copies")
     first = materialise(first, "first")  # the row that stands for its class
-    base = rows.join(broadcast_if_small(first, first.count()), "cid", "left_semi").select("cid", "key", F.col("doc_id").alias("rep"), "n", "tokens")
+    base = rows.join(broadcast_if_small(first, first.count()), "cid").select("cid", "key", F.col("doc_id").alias("rep"), "copies", "n", "tokens")
     late, scratch = np.empty(0, np.int64), []
     for _ in range(ROUNDS):
         _drop(scratch)
@@ -217,47 +226,55 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     whole = families.groupBy("family").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("size"))
     large = materialise(whole.where((F.col("m") > FAMILY) | (F.col("size") > FAMILY_BYTES)), "large")
     named = families.drop("n").join(broadcast_if_small(large, large.count()), "family", "left")
-    wanted = materialise(named.join(base.select("cid", "key", "rep"), "cid"), "wanted")
+    wanted = materialise(named.join(base.select("cid", "key", "rep", "copies"), "cid"), "wanted")
     sets = materialise(_documents_of(docs, wanted, size, percent, None, True).join(wanted.select("key", "cid"), "key").select("cid", "tokens"), "members")
-    small = wanted.where("m is null").select(F.col("family").cast("string").alias("task"), "cid", F.lit(True).alias("probe"), F.lit(True).alias("member"))
-    found = _join_tasks(small.join(sets, "cid"), percent)
+    small = wanted.where("m is null").select(F.col("family").cast("string").alias("task"), "cid", "copies", F.lit(True).alias("probe"), F.lit(True).alias("member"))
+    found = _join_tasks(small.join(sets, "cid"), percent, counted)
     if large.limit(1).count():
-        found = found.unionByName(_large_family_links(wanted.where("m is not null").select("family", "cid", "m", "size"), sets, percent))
+        found = found.unionByName(_large_family_links(wanted.where("m is not null").select("family", "cid", "copies", "m", "size"), sets, percent, counted))
+    found = materialise(found, "links")
     parts = connected_components(found)
-    grouped = _with_smallest(base.select("cid", "key", "rep").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left"))
-    alone = rows.where("key is null").select("doc_id", *carried, "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    named = base.select("cid", "key", "rep", "copies").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left")
+    if counted:
+        others = found.where("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
+        named = named.join(others, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    grouped = _with_smallest(named)
+    alone = rows.where("key is null").select(
+        "doc_id", *carried, "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"), *([F.lit(0).cast("long").alias("n_links")] if counted else [])
+    )
     out = materialise(rows.where("key is not null").drop("tokens").join(grouped, "key").select(*alone.columns).unionByName(alone), "components")
-    _drop([rows, first, linked, families, large, wanted, sets, parts])
+    _drop([rows, first, linked, families, large, wanted, sets, found, parts])
     return out
 
 
 def _with_smallest(named: DataFrame) -> DataFrame:
-    """key, component and component_id (its smallest rep) of classes (cid, key, rep, component, null if nothing is linked).
+    """key, component, component_id (its smallest rep) and n_links, if there, of classes (cid, key, rep, component, null if nothing is
+    linked).
 
     A large component's rows don't meet in one task: the smallest ids are few enough to broadcast, or go to ``SALTS`` parts.
     """
-    linked = named.where("component is not null")
+    linked, counts = named.where("component is not null"), [c for c in named.columns if c == "n_links"]
     smallest = materialise(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")
     n = smallest.count()
-    alone = named.where("component is null").select("key", F.col("cid").alias("component"), F.col("rep").alias("component_id"))
+    alone = named.where("component is null").select("key", F.col("cid").alias("component"), F.col("rep").alias("component_id"), *counts)
     known = broadcast_if_small(smallest, n)
     if known is smallest:
         linked = linked.withColumn("_salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
         known = smallest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return linked.join(known, [c for c in known.columns if c != "component_id"]).select("key", "component", "component_id").unionByName(alone)
+    return linked.join(known, [c for c in known.columns if c != "component_id"]).select("key", "component", "component_id", *counts).unionByName(alone)
 
 
 def similar_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """Group documents whose sets of ``size``-word shingles have a Jaccard of at least ``percent`` / 100.
 
     Returns one row a document: doc_id, n_shingles (of its set), component_id (the smallest doc_id reachable by links, itself
-    included). Words are runs of characters other than white space, A-Z lower-cased; a text of fewer words is one shingle;
+    included), n_links (other rows that it is linked with, all counted). Words are runs of characters other than white space, A-Z lower-cased; a text of fewer words is one shingle;
     null and empty texts and texts without words have none and are linked with nothing. Repeated rows are linked like
     other equal texts and stay; rows without a doc_id take part, but don't name a component (null where all lack one).
     Sets are compared by 62-bit hashes of their shingles. An empty table gives no rows. Needs doc_id and text only.
     """
-    found = _components(docs.select("doc_id", "text"), size, percent)
-    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = _components(docs.select("doc_id", "text"), size, percent, counted=True)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

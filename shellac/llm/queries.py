@@ -140,7 +140,8 @@ WITH RECURSIVE words AS (
 ), reach AS (
   SELECT a AS doc_id, a AS r FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r
 )
-SELECT sizes.doc_id, n AS n_shingles, coalesce(min(least(r, sizes.doc_id)), sizes.doc_id) AS component_id
+SELECT sizes.doc_id, n AS n_shingles, coalesce(min(least(r, sizes.doc_id)), sizes.doc_id) AS component_id,
+  (SELECT count(*) FROM links WHERE a = sizes.doc_id) AS n_links
 FROM sizes LEFT JOIN reach USING (doc_id) GROUP BY sizes.doc_id, n
 """
 

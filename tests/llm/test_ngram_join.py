@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 
 from shellac.llm import ngram_join, queries
 from shellac.llm.components import connected_components
-from shellac.llm.prefix_tree import links
+from shellac.llm.prefix_tree import counted_links, links
 from shellac.llm.shingles import shingle_sets
 
 
@@ -38,12 +39,13 @@ def similar(a, b, percent):
 
 def brute(rows, size=4, percent=85):
     sets = [shingles(t, size) for _, t in rows]
-    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j], percent)])
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if similar(sets[i], sets[j], percent)]
+    root, ends = roots(len(rows), pairs), Counter(k for p in pairs for k in p)
     names: dict = {}
     for r, (d, _) in zip(root, rows):
         if d is not None:
             names[r] = min(d, names.get(r, d))
-    return sorted(((d, len(s), names.get(r) if s else d) for (d, _), s, r in zip(rows, sets, root)), key=str)
+    return sorted(((d, len(s), names.get(r) if s else d, ends[k]) for k, ((d, _), s, r) in enumerate(zip(rows, sets, root))), key=str)
 
 
 def family(r, n, words, edits, start):
@@ -92,7 +94,7 @@ def test_one_frequent_token_only_is_put_last(spark, corpus, monkeypatch):
 
 
 def test_no_rows(spark):
-    assert grouped(spark, []) == [] and grouped(spark, [(1, None), (2, "")]) == [(1, 0, 1), (2, 0, 2)]
+    assert grouped(spark, []) == [] and grouped(spark, [(1, None), (2, "")]) == [(1, 0, 1, 0), (2, 0, 2, 0)]
 
 
 def test_keep_one(spark, corpus):
@@ -120,6 +122,31 @@ def test_prefix_tree_equals_brute_force(sets, percent):
     assert roots(len(sets), found) == roots(len(sets), want)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.frozensets(st.integers(0, 12), min_size=1, max_size=10), min_size=1, max_size=12), st.sampled_from([50, 80, 85]), st.integers(0, 12), st.randoms())
+def test_counts_of_links_equal_brute_force(sets, percent, cut, r):
+    arrays, weights = [np.array(sorted(s), np.int64) for s in sets], np.array([r.randint(1, 5) for _ in sets])
+    near = [[i != j and similar(a, b, percent) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    found, counts = counted_links(arrays, range(len(sets)), range(len(sets)), percent, weights)
+    assert counts.tolist() == [sum(w for w, hit in zip(weights, row) if hit) for row in near]
+    assert roots(len(sets), found) == roots(len(sets), links(arrays, range(len(sets)), range(len(sets)), percent))
+    apart = counted_links(arrays, range(min(cut, len(sets))), range(cut, len(sets)), percent, weights)[1]
+    assert apart.tolist() == [sum(w for j, (w, hit) in enumerate(zip(weights, row)) if hit and (i < cut) != (j < cut)) for i, row in enumerate(near)]
+
+
+def test_a_large_group_is_counted_without_listing_pairs():
+    r = random.Random(8)
+    base = np.arange(400)
+    sets = [np.union1d(np.delete(base, r.sample(range(400), r.randint(0, 30))), r.sample(range(1000, 5000), 10)).astype(np.int64) for _ in range(1500)]
+    marked = np.zeros((len(sets), 5000), np.int32)
+    for k, s in enumerate(sets):
+        marked[k, s] = 1
+    shared, sizes = (marked.astype(np.float32) @ marked.T.astype(np.float32)).astype(np.int64), marked.sum(axis=1)
+    near = 185 * shared >= 85 * (sizes[:, None] + sizes)
+    found, counts = counted_links(sets, range(len(sets)), range(len(sets)), 85, np.ones(len(sets)))
+    assert counts.tolist() == (near.sum(axis=1) - 1).tolist() and len(found) < len(sets)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aAbé \n\t\xa0"), max_size=30), max_size=6), st.integers(1, 5))
 def test_shingles_equal_brute_force(texts, size):
