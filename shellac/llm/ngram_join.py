@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shellac.llm.common import bound_batches, broadcast_if_small, discard, materialise, quoted, release_memory
@@ -33,13 +33,14 @@ from shellac.llm.shingles import shingle_sets
 FEW = 32
 #: Most tokens that are put last, the most frequent ones; the list is broadcast (8 bytes each).
 FREQUENT_TOKENS = 500_000
-#: Classes of a family that one task joins; larger families go in pairs of blocks of half as many.
-FAMILY = 8192
+#: Classes of a family that one task joins; larger families go in pairs of blocks of at most ``BLOCK``, and of ``BLOCKS`` blocks at
+#: least, so that many tasks share the first that are beyond it.
+FAMILY, BLOCK, BLOCKS = 2048, 4096, 4
 #: Tokens kept beyond the prefix and a quarter of it, so that most classes with frequent tokens needn't be read again.
 SPARE = 4
 #: Times that the order is settled anew: other tokens move up into prefixes, and may be frequent.
 ROUNDS = 3
-#: The same in bytes of their sets.
+#: The first in bytes of their sets; a block has half of them at most.
 FAMILY_BYTES = 64 << 20
 #: Sets that a task gets on average, and their bytes.
 TASK_SETS, TASK_BYTES = 2000, 32 << 20
@@ -147,11 +148,10 @@ def _families(classes: DataFrame, percent: int, scratch: list[DataFrame], hot: b
     return near.unionByName(to_own.distinct()).unionByName(to_next.distinct())
 
 
-def _join_tasks(tasks: DataFrame, percent: int, counted: bool) -> DataFrame:
-    """Links (a, b, 0) of rows (task, cid, copies, probe, member, tokens): inside a task, each probe against all members. If they are to
-    be counted, rows (a, a, number) tell the copies of other classes that ``a`` is linked with in a task."""
-    sets, size = tasks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
-    n = max(1, -(-sets // TASK_SETS), -(-size // TASK_BYTES))
+def _join_tasks(tasks: DataFrame, by: Column, percent: int, counted: bool) -> DataFrame:
+    """Links (a, b, 0) of rows (task, cid, copies, probe, member, tokens): inside a task, each probe against all members; a Python call
+    gets the tasks of one ``by``. If they are to be counted, rows (a, a, number) tell the copies of other classes that ``a`` is
+    linked with in a task."""
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
@@ -168,19 +168,25 @@ def _join_tasks(tasks: DataFrame, percent: int, counted: bool) -> DataFrame:
         release_memory()
         return pd.DataFrame(out, columns=["a", "b", "n"]).astype("int64")
 
-    dealt = tasks.groupBy(F.pmod(F.xxhash64("task"), F.lit(n)).alias("_bucket"))
-    return dealt.applyInPandas(lambda rows: join(rows), "a long, b long, n long")
+    return tasks.groupBy(by).applyInPandas(lambda rows: join(rows), "a long, b long, n long")
+
+
+def _small_family_links(small: DataFrame, percent: int, counted: bool) -> DataFrame:
+    """Links of families that are a task each, many of them dealt to one Python call."""
+    sets, size = small.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0))).first()
+    n = max(1, -(-sets // TASK_SETS), -(-size // TASK_BYTES))
+    return _join_tasks(small, F.pmod(F.xxhash64("task"), F.lit(n)).alias("_bucket"), percent, counted)
 
 
 def _large_family_links(large: DataFrame, sets: DataFrame, percent: int, counted: bool) -> DataFrame:
-    """Links of families beyond ``FAMILY`` or ``FAMILY_BYTES`` (family, cid, copies, m members, size of their sets), in blocks of half as
-    much: each block against itself and every later one."""
-    n = F.ceil(F.greatest(F.col("m") / (FAMILY // 2), F.col("size") / (FAMILY_BYTES // 2))).cast("int")
+    """Links of families beyond ``FAMILY`` or ``FAMILY_BYTES`` (family, cid, copies, m members, size of their sets), in blocks: each
+    block against itself and every later one, as a task of its own."""
+    n = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / (FAMILY_BYTES // 2), F.lit(BLOCKS))).cast("int")
     own = large.select("family", "cid", "copies", n.alias("_n"), F.pmod(F.xxhash64("cid"), n).alias("_k"))
     pairs = own.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_j"))
     task = F.concat_ws("/", "family", F.least("_k", "_j"), F.greatest("_k", "_j"))
     rows = pairs.select(task.alias("task"), "cid", "copies", (F.col("_k") <= F.col("_j")).alias("probe"), (F.col("_k") >= F.col("_j")).alias("member"))
-    return _join_tasks(rows.join(sets, "cid"), percent, counted)
+    return _join_tasks(rows.join(sets, "cid"), F.col("task"), percent, counted)
 
 
 def _drop(scratch: list[DataFrame]) -> None:
@@ -229,7 +235,7 @@ def _components(docs: DataFrame, size: int, percent: int, counted: bool = False)
     wanted = materialise(named.join(base.select("cid", "key", "rep", "copies"), "cid"), "wanted")
     sets = materialise(_documents_of(docs, wanted, size, percent, None, True).join(wanted.select("key", "cid"), "key").select("cid", "tokens"), "members")
     small = wanted.where("m is null").select(F.col("family").cast("string").alias("task"), "cid", "copies", F.lit(True).alias("probe"), F.lit(True).alias("member"))
-    found = _join_tasks(small.join(sets, "cid"), percent, counted)
+    found = _small_family_links(small.join(sets, "cid"), percent, counted)
     if large.limit(1).count():
         found = found.unionByName(_large_family_links(wanted.where("m is not null").select("family", "cid", "copies", "m", "size"), sets, percent, counted))
     found = materialise(found, "links")

@@ -81,6 +81,7 @@ def test_groups_equal_brute_force(spark, corpus):
 def test_other_paths_give_the_same(spark, corpus, monkeypatch):
     monkeypatch.setattr(ngram_join, "FEW", 3)
     monkeypatch.setattr(ngram_join, "FAMILY", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "TASK_SETS", 20)
     assert grouped(spark, corpus) == brute(corpus)
     assert grouped(spark, corpus, size=5, percent=80) == brute(corpus, 5, 80)
