@@ -1,13 +1,14 @@
 """Views, search, rendering, changes and ingest on small snapshots written by hand."""
 
 import json
+import os
 
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from shellac.operators import browse, dml, ingest, numbering, render, search, sync
-from shellac.plans import commands
+from shellac.plans import commands, queries
 from shellac.schema import TABLES, Dimension
 from shellac.sources.adapters import adapted
 from shellac.sources.catalogue import Catalogue, drop_catalogue, empty_catalogue, read_catalogue
@@ -166,6 +167,29 @@ def test_reconcile_counts_add_up(small, spark, tmp_path):
     assert got.asDict() == {"total": 4, "present": 1, "downloaded": 1, "failed": 0, "skipped": 2}
 
 
+def test_what_is_there_includes_folders_empty_and_hidden_files(small, spark, tmp_path):
+    for name in ("a.mp3", "_b.mp3", ".c.mp3", "100%+d.mp3", "e, f.mp3", "no.mp3.part", ".mp3", "g.MP3"):
+        (tmp_path / name).touch()
+    for name in ("o.mp3", "sub.mp3", "k=1"):
+        (tmp_path / name).mkdir()
+    for name in ("sub.mp3/x", "k=1/z.mp3"):
+        (tmp_path / name).write_bytes(b"x")
+    assert pairs(present_ids(spark, str(tmp_path)), "id") == [(".c",), ("100%+d",), ("_b",), ("a",), ("e, f",), ("o",), ("sub",)]
+    assert pairs(sync.missing_files(small.tracks, present_ids(spark, f"file://{tmp_path}/")), "id") == [("b",), ("c",)]
+    assert present_ids(spark, str(tmp_path), ".ogg").count() == 0
+
+
+def test_tables_that_are_folders_are_present_files(spark, duck, tmp_path):
+    for file in os.listdir(SF):
+        (tmp_path / file).symlink_to(f"{SF}/{file}")
+    for table in ("documents", "pages"):
+        (tmp_path / f"{table}.parquet").unlink()
+        (tmp_path / f"{table}.parquet").mkdir()
+        for part in range(2):
+            (tmp_path / f"{table}.parquet/part-{part}.parquet").symlink_to(f"{SF}/{table}.parquet")
+    assert pairs(queries.QUERIES["present_files"](spark, str(tmp_path)), "id") == sorted(duck.sql(queries.ORACLES["present_files"]).fetchall())
+
+
 def test_write_read_register_drop(small, spark, tmp_path):
     small.write(str(tmp_path / "c"))
     again = read_catalogue(spark, str(tmp_path / "c"))
